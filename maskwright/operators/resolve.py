@@ -62,10 +62,9 @@ def resolved_spans(candidates: str) -> str:
         ELSE flatten(transform({_independent_blocks('v_cs')}, v_blk -> CASE
             WHEN size(v_blk) <= {2 * _SMALL} THEN {_greedy_small('v_blk')}
             ELSE {_greedy_boxed('v_blk')} END)) END"""
-    in_text_order = ("array_sort(transform(v_kept, v_c -> named_struct("
-                     "'s', v_c.s, 'e', v_c.e, 'later', -v_c.nc, 'ord', -v_c.ord, 'c', v_c)))")
+    in_text_order = "array_sort(transform(v_kept, v_c -> named_struct('s', v_c.s, 'c', v_c)))"
     spans = f"""CAST(transform({in_text_order}, v_p -> named_struct(
-        'start', v_p.s, 'end', v_p.e, 'original', v_p.c.txt, 'replacement', v_p.c.rep,
+        'start', v_p.s, 'end', v_p.c.e, 'original', v_p.c.txt, 'replacement', v_p.c.rep,
         'category', v_p.c.cat, 'label', v_p.c.lab, 'confidence', -v_p.c.nc)) AS ARRAY<{SPAN_TYPE}>)"""
     return let("v_cs", candidates,
                f"CASE WHEN size(v_cs) = 0 THEN {empty_array(SPAN_TYPE)}"

@@ -40,7 +40,7 @@ def resolve(found):
 
 
 def splice(text, spans):
-    for start, end, _, replacement, *_ in reversed(spans):
+    for start, end, _, replacement, *_ in sorted(spans, key=lambda s: s[0], reverse=True):
         text = text[:start] + replacement + text[end:]
     return text
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+BLOCK = 128
+
 
 def lit(text: str) -> str:
     """A SQL string literal."""
@@ -18,15 +20,26 @@ def let(var: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {var} -> {body}), 1)"
 
 
-def appended(block: str, blocks: str, full: str, item: str, item_type: str) -> tuple[str, str]:
-    """One step of appending to a list kept as (current block, finished blocks).
+def running(values: str, zero: str, op: str) -> str:
+    """Running totals of an INT array; ``op`` combines ``v_l`` and ``v_r``.
 
-    Appending to a plain array inside ``aggregate`` copies it each time, which is quadratic in
-    long documents; here only the small current block is copied.
+    ``aggregate`` copies its accumulator at every step, so one that collects results is quadratic.
+    Here it only ever holds one block of integers; the blocks' totals are then carried forward.
     """
-    empty = empty_array(item_type)
-    return (f"concat(if({full}, {empty}, {block}), array({item}))",
-            f"if({full}, concat({blocks}, array({block})), {blocks})")
+    def total(part: str) -> str:
+        step = op.replace("v_l", "element_at(v_a, -1)").replace("v_r", "v_v")
+        return (f"slice(aggregate({part}, array({zero}), (v_a, v_v) -> concat(v_a, array({step}))),"
+                f" 2, size({part}))")
+
+    blocks = (f"transform(sequence(0, (size(v_all) - 1) div {BLOCK}),"
+              f" v_b -> {let('v_part', f'slice(v_all, int(v_b * {BLOCK} + 1), {BLOCK})', total('v_part'))})")
+    carried = op.replace("v_l", "get(v_carry, v_i - 1)").replace("v_r", "v_v")
+    spread = (f"flatten(transform(v_blocks, (v_p, v_i) ->"
+              f" if(v_i = 0, v_p, transform(v_p, v_v -> {carried}))))")
+    long_form = let("v_blocks", blocks, let(
+        "v_carry", let("v_ends", "transform(v_blocks, v_p -> element_at(v_p, -1))", total("v_ends")), spread))
+    return let("v_all", values,
+               f"CASE WHEN size(v_all) <= {BLOCK} THEN {total('v_all')} ELSE {long_form} END")
 
 
 def empty_array(item_type: str) -> str:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from maskwright.functions.checks import CHECKS
-from maskwright.functions.expr import appended, empty_array, let, lit
+from maskwright.functions.expr import empty_array, let, lit, running
 from maskwright.rules import Rule, RuleSet
 
 SPAN_TYPE = ("STRUCT<start: INT, end: INT, original: STRING, replacement: STRING, category: STRING,"
@@ -25,8 +25,6 @@ SPAN_TYPE = ("STRUCT<start: INT, end: INT, original: STRING, replacement: STRING
 CANDIDATE_TYPE = ("STRUCT<nc: DOUBLE, s: INT, nl: INT, ord: INT, e: INT, txt: STRING, rep: STRING,"
                   " cat: STRING, lab: STRING>")
 
-_BLOCK = 128
-
 
 def _fold_letters(x: str) -> str:
     """Letters that match an ASCII letter ignoring case but do not lower-case to it."""
@@ -57,19 +55,12 @@ def _rule_table(rules: list[tuple[int, Rule]]) -> str:
 
 
 def _locate(matches: str, gaps: str, rule: str) -> str:
-    """Turn one rule's matches and gaps into candidates, in one pass over them."""
-    start = "v_a.pos + v_z.gap"
-    item = (f"named_struct('nc', {rule}.nc, 's', {start}, 'nl', -length(v_z.hit), 'ord', {rule}.ord,"
-            f" 'e', {start} + length(v_z.hit), 'txt', v_z.hit, 'rep', {rule}.rep, 'cat', {rule}.cat,"
-            f" 'lab', {rule}.lab)")
-    block, blocks = appended("v_a.cur", "v_a.done", f"size(v_a.cur) >= {_BLOCK}", item, CANDIDATE_TYPE)
-    return f"""aggregate(
-        zip_with({matches}, slice({gaps}, 1, size({matches})),
-                 (v_m, v_g) -> named_struct('hit', v_m, 'gap', length(v_g))),
-        named_struct('pos', 0, 'cur', {empty_array(CANDIDATE_TYPE)},
-                     'done', {empty_array(f'ARRAY<{CANDIDATE_TYPE}>')}),
-        (v_a, v_z) -> named_struct('pos', {start} + length(v_z.hit), 'cur', {block}, 'done', {blocks}),
-        v_a -> flatten(concat(v_a.done, array(v_a.cur))))"""
+    """Turn one rule's matches and the gaps before them into candidates."""
+    ends = running(f"zip_with({matches}, slice({gaps}, 1, size({matches})),"
+                   " (v_m, v_g) -> length(v_g) + length(v_m))", "0", "v_l + v_r")
+    return f"""zip_with({matches}, {ends}, (v_m, v_end) -> named_struct(
+        'nc', {rule}.nc, 's', v_end - length(v_m), 'nl', -length(v_m), 'ord', {rule}.ord, 'e', v_end,
+        'txt', v_m, 'rep', {rule}.rep, 'cat', {rule}.cat, 'lab', {rule}.lab))"""
 
 
 def _checked(candidates: str, rules: list[tuple[int, Rule]]) -> str:

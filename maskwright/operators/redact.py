@@ -38,9 +38,9 @@ def spliced(text: str, spans: str, style: str = "label") -> str:
         array_join(transform({cut}, v_k -> array_join({pieces}, '')), ''),
         substring({text}, element_at(v_sp, -1).end + 1)) END"""
     # An empty span shares its start with its neighbour: write it before, the last ranked first.
-    in_order = f"""transform(array_sort(transform({spans}, (v_s, v_i) -> named_struct(
-        's', v_s.start, 'e', v_s.end, 'i', -v_i, 'v_s', v_s))), v_o -> v_o.v_s)"""
-    return let("v_sp", f"CASE WHEN size({spans}) < 2 THEN {spans} ELSE {in_order} END", body)
+    in_order = """if(size(v_in) < 2, v_in, transform(array_sort(transform(v_in, (v_s, v_i) -> named_struct(
+        's', v_s.start, 'e', v_s.end, 'i', -v_i, 'v_s', v_s))), v_o -> v_o.v_s))"""
+    return let("v_in", spans, let("v_sp", in_order, body))
 
 
 def apply_replacements(text_col: str, spans_col: str = "spans", style: str = "label") -> Column:

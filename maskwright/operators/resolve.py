@@ -5,63 +5,72 @@ overlaps nothing kept before. Touching spans do not overlap. The result does not
 better span overlaps me": a span may survive because its better rival lost to a third one.
 
 Long documents: overlaps never cross a point no candidate covers, so the candidates are cut there
-into blocks and the (quadratic) greedy step runs per block; within a block the kept spans are
-grouped under bounding boxes, so one span covering thousands of others stays affordable.
+into blocks and the (quadratic) greedy step runs per block. A block that cannot be cut, such as one
+span covering thousands of others, is taken in chunks; each chunk's kept spans sit under a
+bounding box, so a candidate looks into the few boxes it touches.
 """
 
 from __future__ import annotations
 
-from maskwright.functions.expr import empty_array, let
-from maskwright.operators.detect import CANDIDATE_TYPE, SPAN_TYPE
+from maskwright.functions.expr import empty_array, let, running
+from maskwright.operators.detect import SPAN_TYPE
 
-_SMALL = 64
-_BOX = 128
-_BOX_TYPE = f"STRUCT<lo: INT, hi: INT, ks: ARRAY<{CANDIDATE_TYPE}>>"
-_EMPTY = empty_array(CANDIDATE_TYPE)
+_CHUNK = 64
+_CLASH = "get({srt}, v_i).s < get({srt}, v_k).e AND get({srt}, v_k).s < get({srt}, v_i).e"
+_INTS = empty_array("INT")
+
+
+def _greedy(indexes: str, srt: str) -> str:
+    """Indexes into the ranked candidates ``srt`` that survive, taken in order."""
+    return (f"aggregate({indexes}, {_INTS}, (v_a, v_i) ->"
+            f" if(exists(v_a, v_k -> {_CLASH.format(srt=srt)}), v_a, concat(v_a, array(v_i))))")
 
 
 def _greedy_small(block: str) -> str:
-    return f"""aggregate(array_sort({block}), {_EMPTY},
-        (v_a, v_c) -> if(exists(v_a, v_k -> v_c.s < v_k.e AND v_k.s < v_c.e), v_a,
-                         concat(v_a, array(v_c))))"""
-
-
-def _greedy_boxed(block: str) -> str:
-    clash = ("exists(v_a.cur, v_k -> v_c.s < v_k.e AND v_k.s < v_c.e)"
-             " OR exists(v_a.boxes, v_b -> v_c.s < v_b.hi AND v_b.lo < v_c.e"
-             " AND exists(v_b.ks, v_k -> v_c.s < v_k.e AND v_k.s < v_c.e))")
-    full = f"size(v_a.cur) >= {_BOX}"
-    box = ("named_struct('lo', array_min(transform(v_a.cur, v_k -> v_k.s)),"
-           " 'hi', array_max(transform(v_a.cur, v_k -> v_k.e)), 'ks', v_a.cur)")
-    return f"""aggregate(array_sort({block}),
-        named_struct('cur', {_EMPTY}, 'boxes', {empty_array(_BOX_TYPE)}),
-        (v_a, v_c) -> if({clash}, v_a, named_struct(
-            'cur', concat(if({full}, {_EMPTY}, v_a.cur), array(v_c)),
-            'boxes', if({full}, concat(v_a.boxes, array({box})), v_a.boxes))),
-        v_a -> concat(flatten(transform(v_a.boxes, v_b -> v_b.ks)), v_a.cur))"""
+    picked = _greedy("sequence(0, size(v_srt) - 1)", "v_srt")
+    return let("v_srt", f"array_sort({block})", f"transform({picked}, v_i -> get(v_srt, v_i))")
+
+
+def _greedy_chunked(block: str) -> str:
+    chunk = (f"sequence(int(v_j * {_CHUNK}),"
+             f" least(int(v_j * {_CHUNK} + {_CHUNK - 1}), size(v_srt) - 1))")
+    free = (f"filter({chunk}, v_i -> NOT exists(v_boxes, v_b -> get(v_srt, v_i).s < v_b.hi"
+            f" AND v_b.lo < get(v_srt, v_i).e AND exists(v_b.ks, v_k -> {_CLASH.format(srt='v_srt')})))")
+    box = """if(size(v_kept) = 0, v_boxes, concat(v_boxes, array(named_struct(
+        'lo', array_min(transform(v_kept, v_k -> get(v_srt, v_k).s)),
+        'hi', array_max(transform(v_kept, v_k -> get(v_srt, v_k).e)), 'ks', v_kept))))"""
+    boxes = f"""aggregate(sequence(0, (size(v_srt) - 1) div {_CHUNK}),
+        {empty_array('STRUCT<lo: INT, hi: INT, ks: ARRAY<INT>>')},
+        (v_boxes, v_j) -> {let('v_kept', _greedy(free, 'v_srt'), box)})"""
+    picked = f"flatten(transform({boxes}, v_b -> v_b.ks))"
+    return let("v_srt", f"array_sort({block})", f"transform({picked}, v_i -> get(v_srt, v_i))")
 
 
 def _independent_blocks(candidates: str) -> str:
-    """Cut the candidates, in text order, where nothing reaches across."""
-    cut = f"size(v_a.cur) >= {_SMALL} AND v_c.s >= v_a.hi"
-    return f"""aggregate(
-        array_sort(transform({candidates}, v_c -> named_struct('s', v_c.s, 'e', v_c.e, 'c', v_c))),
-        named_struct('hi', 0, 'cur', {_EMPTY}, 'done', {empty_array(f'ARRAY<{CANDIDATE_TYPE}>')}),
-        (v_a, v_c) -> named_struct(
-            'hi', greatest(v_a.hi, v_c.e),
-            'cur', concat(if({cut}, {_EMPTY}, v_a.cur), array(v_c.c)),
-            'done', if({cut}, concat(v_a.done, array(v_a.cur)), v_a.done)),
-        v_a -> concat(v_a.done, array(v_a.cur)))"""
+    """Cut the candidates, in text order, where nothing reaches across.
+
+    Of the possible cuts, the first in each run of ``_CHUNK`` candidates is used.
+    """
+    by_start = (f"transform(array_sort(transform({candidates},"
+                " v_c -> named_struct('s', v_c.s, 'e', v_c.e, 'c', v_c))), v_c -> v_c.c)")
+    reach = running("transform(v_bs, v_c -> v_c.e)", "0", "greatest(v_l, v_r)")
+    cuts = ("filter(sequence(0, size(v_bs) - 1), v_i ->"
+            " if(v_i = 0, true, get(v_bs, v_i).s >= get(v_reach, v_i - 1)))")
+    used = (f"filter(v_cuts, (v_i, v_n) ->"
+            f" if(v_n = 0, true, v_i div {_CHUNK} <> get(v_cuts, v_n - 1) div {_CHUNK}))")
+    blocks = ("transform(v_used, (v_i, v_n) -> slice(v_bs, v_i + 1,"
+              " coalesce(get(v_used, v_n + 1), size(v_bs)) - v_i))")
+    return let("v_bs", by_start, let("v_reach", reach, let("v_cuts", cuts, let("v_used", used, blocks))))
 
 
 def resolved_spans(candidates: str) -> str:
     """Non-overlapping spans in text order, as ``ARRAY<SPAN_TYPE>``."""
     kept = f"""CASE
         WHEN size(v_cs) < 2 THEN v_cs
-        WHEN size(v_cs) <= {_SMALL} THEN {_greedy_small('v_cs')}
+        WHEN size(v_cs) <= {_CHUNK} THEN {_greedy_small('v_cs')}
         ELSE flatten(transform({_independent_blocks('v_cs')}, v_blk -> CASE
-            WHEN size(v_blk) <= {2 * _SMALL} THEN {_greedy_small('v_blk')}
-            ELSE {_greedy_boxed('v_blk')} END)) END"""
+            WHEN size(v_blk) <= {2 * _CHUNK} THEN {_greedy_small('v_blk')}
+            ELSE {_greedy_chunked('v_blk')} END)) END"""
     in_text_order = "array_sort(transform(v_kept, v_c -> named_struct('s', v_c.s, 'c', v_c)))"
     spans = f"""CAST(transform({in_text_order}, v_p -> named_struct(
         'start', v_p.s, 'end', v_p.c.e, 'original', v_p.c.txt, 'replacement', v_p.c.rep,

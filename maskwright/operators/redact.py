@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.functions.expr import ident, let
+from maskwright.functions.expr import ident, let, running
 
 _BLOCK = 64
 
@@ -20,78 +20,65 @@ STYLES = {
 }
 
 
-def spliced(text: str, spans: str, style: str = "label") -> str:
-    """The text with each span replaced; ``spans`` are disjoint and in text order."""
-    if style not in STYLES:
-        raise ValueError(f"Unknown style: {style!r}. Available styles: {', '.join(STYLES)}")
+def _gaps(text: str) -> str:
+    """The unmasked piece before each span of ``v_sp`` (disjoint, in text order, not empty)."""
     blocks = f"""transform(sequence(0, (size(v_sp) - 1) div {_BLOCK}), v_b -> named_struct(
         'base', if(v_b = 0, 0, get(v_sp, v_b * {_BLOCK} - 1).end),
         'ks', slice(v_sp, int(v_b * {_BLOCK} + 1), {_BLOCK})))"""
     cut = f"""transform({blocks}, v_k -> named_struct('base', v_k.base, 'ks', v_k.ks,
         'part', substring({text}, v_k.base + 1, element_at(v_k.ks, -1).end - v_k.base)))"""
-    pieces = """transform(v_k.ks, (v_s, v_i) -> concat(
-        substring(v_k.part,
-                  if(v_i = 0, v_k.base, get(v_k.ks, v_i - 1).end) - v_k.base + 1,
-                  v_s.start - if(v_i = 0, v_k.base, get(v_k.ks, v_i - 1).end)),
-        """ + STYLES[style] + "))"
+    before = "if(v_i = 0, v_k.base, get(v_k.ks, v_i - 1).end)"
+    return f"""flatten(transform({cut}, v_k -> transform(v_k.ks, (v_s, v_i) ->
+        substring(v_k.part, {before} - v_k.base + 1, v_s.start - {before}))))"""
+
+
+def _tail(text: str) -> str:
+    return f"substring({text}, element_at(v_sp, -1).end + 1)"
+
+
+# An empty span shares its start with its neighbour: write it before, the last ranked first.
+_WRITE_ORDER = """if(size(v_in) < 2, v_in, transform(array_sort(transform(v_in, (v_s, v_i) -> named_struct(
+    's', v_s.start, 'e', v_s.end, 'i', -v_i, 'v_s', v_s))), v_o -> v_o.v_s))"""
+
+
+def spliced(text: str, spans: str, style: str = "label") -> str:
+    """The text with each span replaced."""
+    if style not in STYLES:
+        raise ValueError(f"Unknown style: {style!r}. Available styles: {', '.join(STYLES)}")
     body = f"""CASE WHEN size(v_sp) = 0 THEN {text} ELSE concat(
-        array_join(transform({cut}, v_k -> array_join({pieces}, '')), ''),
-        substring({text}, element_at(v_sp, -1).end + 1)) END"""
-    # An empty span shares its start with its neighbour: write it before, the last ranked first.
-    in_order = """if(size(v_in) < 2, v_in, transform(array_sort(transform(v_in, (v_s, v_i) -> named_struct(
-        's', v_s.start, 'e', v_s.end, 'i', -v_i, 'v_s', v_s))), v_o -> v_o.v_s))"""
-    return let("v_in", spans, let("v_sp", in_order, body))
+        array_join(zip_with({_gaps(text)}, v_sp, (v_g, v_s) -> concat(v_g, {STYLES[style]})), ''),
+        {_tail(text)}) END"""
+    return let("v_in", spans, let("v_sp", _WRITE_ORDER, body))
 
 
 def apply_replacements(text_col: str, spans_col: str = "spans", style: str = "label") -> Column:
     return F.expr(spliced(ident(text_col), ident(spans_col), style))
 
 
-def line_changes(df: DataFrame, key: str, text_col: str, spans_col: str = "spans") -> DataFrame:
-    """The changed lines of each text: (key, line_no, before, after).
+def line_changes(df: DataFrame, keys: list[str], text_col: str, spans_col: str = "spans") -> DataFrame:
+    """A review of what masking would change: (keys..., line_no, before, after).
 
-    A span that covers several lines (a key block) shows up on its first line, with the lines it
-    swallowed in ``before``.
+    One row per changed line. A span over several lines joins them into one row, numbered by its
+    first line, so nothing of a multi-line secret is hidden from the review.
     """
-    newline = "'\\n'"
-    # Break after every newline that no span covers, so both sides have the same number of parts.
-    # Within a span newlines are part of the change; they become one unit with their line.
-    x, sp = ident(text_col), ident(spans_col)
-    gap = f"substring({x}, v_prev + 1, v_s.start - v_prev)"
-    parts = f"""transform({sp}, (v_s, v_i) -> {let('v_prev', f'if(v_i = 0, 0, get({sp}, v_i - 1).end)',
-        f"named_struct('gap', {gap}, 'span', v_s)")})"""
-    tail = f"substring({x}, if(size({sp}) = 0, 0, element_at({sp}, -1).end) + 1)"
-    return (
-        df.where(F.expr(f"size({sp}) > 0"))
-        .select(key, F.expr(f"inline({_lines(parts, tail, newline)})"))
-        .where("changed").drop("changed")
-    )
-
-
-def _lines(parts: str, tail: str, newline: str) -> str:
-    """Fold gaps and spans into lines; a line ends at a newline outside all spans."""
-    line = "STRUCT<line_no: INT, before: STRING, after: STRING, changed: BOOLEAN>"
-
-    def close(acc: str, first: str) -> str:
-        return (f"named_struct('line_no', {acc}.no, 'before', concat({acc}.b, {first}),"
-                f" 'after', concat({acc}.a, {first}), 'changed', {acc}.ch)")
-
-    def height(s: str) -> str:
-        return f"(length({s}) - length(replace({s}, {newline}, '')))"
-
-    # v_l = lines of the gap: the first finishes the open line, the last opens the next one.
-    step = let(
-        "v_l", f"split(v_p.gap, {newline}, -1)",
-        f"""named_struct(
-            'no', v_acc.no + size(v_l) - 1 + {height('v_p.span.original')},
-            'b', concat(if(size(v_l) = 1, v_acc.b, ''), element_at(v_l, -1), v_p.span.original),
-            'a', concat(if(size(v_l) = 1, v_acc.a, ''), element_at(v_l, -1), v_p.span.replacement),
-            'ch', true,
-            'out', if(size(v_l) = 1 OR NOT v_acc.ch, v_acc.out,
-                      concat(v_acc.out, array({close('v_acc', 'element_at(v_l, 1)')}))))""")
-    return f"""aggregate({parts},
-        named_struct('no', 1, 'b', '', 'a', '', 'ch', false, 'out', CAST(array() AS ARRAY<{line}>)),
-        (v_acc, v_p) -> {step},
-        v_acc -> concat(v_acc.out, if(v_acc.ch,
-            array({close('v_acc', f'element_at(split({tail}, {newline}, -1), 1)')}),
-            CAST(array() AS ARRAY<{line}>))))"""
+    def newlines(s: str) -> str:
+        return f"(length({s}) - length(replace({s}, '\\n', '')))"
+
+    x = ident(text_col)
+    advance = f"""transform(v_gp, (v_g, v_i) -> {newlines('v_g')}
+        + if(v_i = 0, 0, {newlines('get(v_sp, v_i - 1).original')}))"""
+    heads = """filter(sequence(0, size(v_sp) - 1),
+        v_i -> if(v_i = 0, true, contains(get(v_gp, v_i), '\\n')))"""
+
+    def side(value: str) -> str:
+        inner = f"""array_join(transform(sequence(v_h, v_next - 1), v_i -> concat(
+            if(v_i = v_h, '', get(v_gp, v_i)), get(v_sp, v_i).{value})), '')"""
+        return (f"concat(substring_index(get(v_gp, v_h), '\\n', -1), {inner},"
+                f" substring_index(coalesce(get(v_gp, v_next), v_tail), '\\n', 1))")
+
+    rows = f"""transform(v_heads, (v_h, v_n) -> {let(
+        'v_next', 'coalesce(get(v_heads, v_n + 1), size(v_sp))',
+        f"named_struct('line_no', get(v_line, v_h) + 1, 'before', {side('original')}, 'after', {side('replacement')})")})"""
+    units = let("v_in", ident(spans_col), let("v_sp", _WRITE_ORDER, let("v_gp", _gaps(x), let(
+        "v_tail", _tail(x), let("v_line", running(advance, "0", "v_l + v_r"), let("v_heads", heads, rows))))))
+    return df.where(F.expr(f"size({ident(spans_col)}) > 0")).select(*keys, F.expr(f"inline({units})"))

@@ -12,8 +12,6 @@ from maskwright.operators.detect import SPAN_TYPE
 from maskwright.rules import ENTITY_REPLACEMENTS, PRIORITIES, SKIPPED_ENTITIES, Detector
 
 MAX_BROADCAST_TERMS = 100_000
-
-
 def attach_entities(df: DataFrame, key: str, text_col: str, entities: DataFrame,
                     into: str = "external") -> DataFrame:
     """Add a column of spans from an entity table ``(key, entity_type, start, end, score)``.
@@ -39,38 +37,46 @@ def attach_entities(df: DataFrame, key: str, text_col: str, entities: DataFrame,
             .drop("_mw_found"))
 
 
+_WORD = "'[\\\\p{L}\\\\p{N}_]+'"
+
+
 def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame, entity: str,
-                        score: float = 0.85, max_words: int = 3) -> DataFrame:
+                        score: float = 0.85) -> DataFrame:
     """Occurrences of listed terms (names, places) in texts, as an entity table.
 
-    ``terms`` has one column. Texts become one narrow row per word that carries the words after
-    it; rows are joined to the terms on the first word and the rest is compared. No text is
-    shuffled. A term list below ``MAX_BROADCAST_TERMS`` rows is broadcast after counting it; a
-    longer one is joined by shuffle, where AQE splits skewed words. Matching ignores case, and a
-    term of several words must be written with the same separators.
+    ``terms`` has one column. A text becomes one narrow row per word and per term length in words,
+    holding the phrase that starts there, and phrases are equi-joined to the terms; no text is
+    shuffled. A list counted at no more than ``MAX_BROADCAST_TERMS`` is broadcast, a longer one is
+    joined by shuffle, where AQE splits frequent phrases. Matching ignores case; a term of several
+    words must be written with the same separators.
     """
-    term = terms.columns[0]
+    term = F.lower(F.col(terms.columns[0]))
     listed = (
-        terms.select(F.lower(F.col(term)).alias("term")).where("term <> ''").distinct()
-        .withColumn("first_word", F.expr("regexp_extract(term, '[\\\\p{L}\\\\p{N}_]+', 0)"))
+        terms.select(F.regexp_extract(term, r"[\p{L}\p{N}_](?:.*[\p{L}\p{N}_])?", 0).alias("phrase"))
+        .where("phrase <> ''").distinct()
+        .withColumn("words", F.expr(f"size(regexp_extract_all(phrase, {_WORD}, 0))"))
     )
-    if listed.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
+    bounds = listed.agg(F.count("*"), F.sort_array(F.collect_set("words"))).first()
+    if bounds[0] <= MAX_BROADCAST_TERMS:
         listed = F.broadcast(listed)
-    word = "'[\\\\p{L}\\\\p{N}_]+'"
+    lengths = f"CAST(array({', '.join(str(n) for n in bounds[1])}) AS ARRAY<INT>)"
+
     ends = running("zip_with(v_w, slice(v_g, 1, size(v_w)), (v_m, v_s) -> length(v_s) + length(v_m))",
                    "0", "v_l + v_r")
-    phrase = f"""concat(array_join(transform(sequence(v_i, least(v_i + {max_words - 1}, size(v_w) - 1)),
-        v_j -> concat(if(v_j = v_i, '', get(v_g, v_j)), get(v_w, v_j))), ''))"""
-    rows = let("v_w", f"regexp_extract_all({ident(text_col)}, {word}, 0)", let(
-        "v_g", f"split({ident(text_col)}, {word}, -1)", let("v_ends", ends, f"""transform(v_w, (v_m, v_i) ->
-            named_struct('start', get(v_ends, v_i) - length(v_m), 'word', lower(v_m),
-                         'phrase', lower({phrase})))""")))
-    words = df.where(F.col(text_col).isNotNull()).select(key, F.expr(f"inline({rows})"))
+    phrase = """array_join(transform(sequence(v_i, v_i + v_n - 1),
+        v_j -> concat(if(v_j = v_i, '', get(v_g, v_j)), get(v_w, v_j))), '')"""
+    rows = f"""flatten(transform(v_w, (v_m, v_i) -> transform(
+        filter({lengths}, v_n -> v_i + v_n <= size(v_w)),
+        v_n -> {let('v_ph', phrase, "named_struct('start', get(v_ends, v_i) - length(v_m),"
+                    " 'len', length(v_ph), 'phrase', lower(v_ph))")})))"""
+    x = ident(text_col)
+    found = let("v_w", f"regexp_extract_all({x}, {_WORD}, 0)", let(
+        "v_g", f"split({x}, {_WORD}, -1)", let("v_ends", ends, rows)))
     return (
-        words.join(listed, (F.col("word") == F.col("first_word")) & F.expr(
-            "startswith(phrase, term) AND NOT rlike(substring(phrase, length(term) + 1, 1), '[\\\\p{L}\\\\p{N}_]')"))
+        df.where(F.col(text_col).isNotNull()).select(key, F.expr(f"inline({found})"))
+        .join(listed, "phrase")
         .select(key, F.lit(entity).alias("entity_type"), "start",
-                (F.col("start") + F.length("term")).alias("end"), F.lit(float(score)).alias("score"))
+                (F.col("start") + F.col("len")).alias("end"), F.lit(float(score)).alias("score"))
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+WORD = r"\p{L}\p{N}_"
 SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 _BOUNDARY = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 _START, _STOP = rf"(?<![{WORD}])(?=[{WORD}])", rf"(?<=[{WORD}])(?![{WORD}])"

@@ -26,34 +26,60 @@ CANDIDATE_TYPE = ("STRUCT<nc: DOUBLE, s: INT, nl: INT, ord: INT, e: INT, txt: ST
                   " cat: STRING, lab: STRING>")
 
 
-def _fold_letters(x: str) -> str:
-    """Letters that match an ASCII letter ignoring case but do not lower-case to it."""
-    return (f"(octet_length({x}) <> char_length({x})"
-            f" AND (contains({x}, 'ſ') OR contains({x}, 'ı') OR contains({x}, 'İ')))")
+def lower_text(x: str, rules: list[tuple[int, Rule]]) -> str:
+    """The text in lower case, with the letters that match an ASCII one ignoring case written as that one.
+
+    ``lower`` leaves long s and dotless i, and turns dotted capital I into i and a combining dot.
+    """
+    if not any("{lc}" in (r.gate or "") for _, r in rules):
+        return "CAST(NULL AS STRING)"
+    return (f"CASE WHEN octet_length({x}) <> char_length({x})"
+            f" AND (contains({x}, 'ſ') OR contains({x}, 'ı') OR contains({x}, 'İ'))"
+            f" THEN translate(lower({x}), 'ſı\\u0307', 'si') ELSE lower({x}) END")
+
+
+def open_rules(x: str, lc: str, rules: list[tuple[int, Rule]]) -> str:
+    """Numbers of the rules whose gate the text passes; a NULL text passes none.
+
+    As part of whole-stage code all gates would share one method, too large for the JIT compiler.
+    The lambda keeps the projection out of it, and Spark generates small methods instead.
+    """
+    numbers = [f"if({r.gate.format(x=x, lc=lc)}, {k}, 0)" if r.gate else str(k)
+               for k, (_, r) in enumerate(rules, 1)]
+    return (f"if(exists(array({x}), v_x -> v_x IS NULL), {empty_array('INT')},"
+            f" array_remove(array({', '.join(numbers)}), 0))")
 
 
-def _rule_hits(rules: list[tuple[int, Rule]]) -> str:
-    """Matches per rule for the text ``v_x``, keeping only rules that matched."""
-    parts = []
-    for k, (_, rule) in enumerate(rules, 1):
-        found = f"regexp_extract_all(v_x, {lit(rule.java())}, 0)"
-        if rule.gate:
-            gate = rule.gate.format(x="v_t.x", lc="v_t.lc", fold="v_t.fold")
-            found = f"CASE WHEN {gate} THEN {found.replace('v_x', 'v_t.x')} END"
-        parts.append(f"named_struct('k', {k}, 'm', {found.replace('v_x', 'v_t.x')})")
-    return f"filter(array({', '.join(parts)}), v_r -> size(v_r.m) > 0)"
+def _per_rule(rules: list[tuple[int, Rule]], k: str, call: str) -> str:
+    """``call`` with the pattern of rule ``k``; patterns stay constants, so each is compiled once."""
+    return f"CASE {k} " + " ".join(
+        f"WHEN {i} THEN {call.format(lit(r.java()))}" for i, (_, r) in enumerate(rules, 1)) + " END"
 
 
 def _rule_table(rules: list[tuple[int, Rule]]) -> str:
     """The constant columns of the rules, folded into one literal."""
     rows = [
-        f"named_struct('ord', {ord_}, 'nc', {-float(r.confidence)!r}D, 'pat', {lit(r.java())},"
+        f"named_struct('ord', {ord_}, 'nc', {-float(r.confidence)!r}D,"
         f" 'rep', {lit(r.replacement)}, 'cat', {lit(r.category)}, 'lab', {lit(r.label)})"
         for ord_, r in rules
     ]
     return f"array({', '.join(rows)})"
 
 
+def _gaps(x: str, rules: list[tuple[int, Rule]], k: str) -> str:
+    """The pieces of the text between the matches of rule ``k``.
+
+    ``split`` compiles its pattern on every call, ``regexp_replace`` keeps a constant one. So
+    matches are replaced by a character the text does not hold, and the text is split there; only
+    a text holding every such character is split by the pattern itself.
+    """
+    marks = ["'\\u0001'", "'\\u0002'", "'\\uE000'"]
+    mark = "CASE " + " ".join(f"WHEN NOT contains({x}, {m}) THEN {m}" for m in marks) + " END"
+    replaced = _per_rule(rules, k, f"regexp_replace({x}, {{}}, v_mark)")
+    return let("v_mark", mark, f"if(v_mark IS NULL, split({x}, {_per_rule(rules, k, '{}')}, -1),"
+                               f" split({replaced}, v_mark, -1))")
+
+
 def _locate(matches: str, gaps: str, rule: str) -> str:
     """Turn one rule's matches and the gaps before them into candidates."""
     ends = running(f"zip_with({matches}, slice({gaps}, 1, size({matches})),"
@@ -70,21 +96,22 @@ def _checked(candidates: str, rules: list[tuple[int, Rule]]) -> str:
     return f"filter({candidates}, v_c -> CASE {' '.join(tests)} ELSE true END)"
 
 
-def rule_candidates(text: str, rules: list[tuple[int, Rule]]) -> str:
-    """Candidates of all JVM rules for the SQL expression ``text``."""
-    if not rules:
-        return empty_array(CANDIDATE_TYPE)
+def rule_candidates(x: str, opened: str, rules: list[tuple[int, Rule]]) -> str:
+    """Candidates of the JVM rules whose numbers are in ``opened``; other texts skip all of this."""
+    hits = f"""filter(transform({opened}, v_n -> named_struct(
+        'k', v_n, 'm', {_per_rule(rules, 'v_n', f'regexp_extract_all({x}, {{}}, 0)')})), v_r -> size(v_r.m) > 0)"""
     located = _checked(_locate("v_q.m", "v_q.g", "v_q.rule"), rules)
-    gate_text = " ".join(r.gate or "" for _, r in rules)
-    lc = "lower({0})" if "{lc}" in gate_text else "CAST(NULL AS STRING)"
-    fold = _fold_letters("{0}") if "{fold}" in gate_text else "false"
-    body = f"""flatten(transform(
-        transform({_rule_hits(rules)},
-                  v_r -> {let('v_k', f'element_at({_rule_table(rules)}, v_r.k)',
-                              "named_struct('m', v_r.m, 'g', split(v_t.x, v_k.pat, -1), 'rule', v_k)")}),
-        v_q -> {located}))"""
-    names = f"named_struct('x', {text}, 'lc', {lc.format(text)}, 'fold', {fold.format(text)})"
-    return let("v_t", names, body)
+    return f"""CASE WHEN size({opened}) > 0 THEN flatten(transform(
+        transform({hits}, v_r -> named_struct('m', v_r.m, 'g', {_gaps(x, rules, 'v_r.k')},
+                                              'rule', element_at({_rule_table(rules)}, v_r.k))),
+        v_q -> {located})) ELSE {empty_array(CANDIDATE_TYPE)} END"""
+
+
+def inline_candidates(x: str, rules: list[tuple[int, Rule]]) -> str:
+    """The same as one expression, for use inside a SQL function."""
+    names = f"named_struct('x', {x}, 'lc', {lower_text(x, rules)})"
+    return let("v_t", names, let("v_open", open_rules("v_t.x", "v_t.lc", rules),
+                                 rule_candidates("v_t.x", "v_open", rules)))
 
 
 def python_candidates(rules: list[tuple[int, Rule]]):

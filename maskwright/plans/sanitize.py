@@ -26,7 +26,11 @@ def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confi
     jvm, python, detectors = detect.rule_plan(ruleset, min_confidence)
     x, parts, extra = ident(text_col), [], []
     if jvm:
-        parts.append(detect.rule_candidates(x, jvm))
+        # Gates come first, in generated code; a text that passes none stops there.
+        df = (df.withColumn("_mw_lower", F.expr(detect.lower_text(x, jvm)))
+              .withColumn("_mw_open", F.expr(detect.open_rules(x, "_mw_lower", jvm))))
+        parts.append(detect.rule_candidates(x, "_mw_open", jvm))
+        extra += ["_mw_lower", "_mw_open"]
     if python:
         df = df.withColumn("_mw_python", detect.python_candidates(python)(F.col(text_col)))
         parts.append("`_mw_python`")
@@ -96,7 +100,7 @@ def register_sql(spark: SparkSession, rules: Rules = None, min_confidence: float
     jvm, python, detectors = detect.rule_plan(RuleSet.of(rules), min_confidence)
     if python or detectors:
         raise ValueError("SQL functions take pattern rules that run on the JVM")
-    spans = resolved_spans(detect.rule_candidates("x", jvm))
+    spans = resolved_spans(detect.inline_candidates("x", jvm))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_spans(x STRING)"
               f" RETURNS ARRAY<{detect.SPAN_TYPE}> RETURN {spans}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING"

@@ -25,9 +25,8 @@ class Rule:
     ``pattern`` is a Python regular expression and defines the meaning. ``jvm``
     may hold an equivalent Java pattern when the plain translation would be slow
     or would recurse; ``gate`` is a cheap necessary condition over the SQL names
-    ``{x}`` (text), ``{lc}`` (lower-cased text) and ``{fold}`` (text holds one of
-    the letters whose lower case is not ASCII although they match an ASCII letter
-    ignoring case). ``lead`` is a class every match must start with.
+    ``{x}`` (text) and ``{lc}`` (text in lower case). ``lead`` is a class every
+    match must start with.
     """
 
     category: str
@@ -101,7 +100,7 @@ def _has(*words: str) -> str:
 
 
 def _has_ci(*words: str) -> str:
-    return "(" + " OR ".join(f"contains({{lc}}, '{w}')" for w in words) + " OR {fold})"
+    return "(" + " OR ".join(f"contains({{lc}}, '{w}')" for w in words) + ")"
 
 
 _PAIR = "(contains({x}, '=') OR contains({x}, ':'))"
@@ -219,7 +218,7 @@ PII = (
 )
 
 # --------------------------------------------------------------------------- execution hints
-_W = r"[a-zA-Z0-9_\p{L}\p{N}]"
+_W = r"[\p{L}\p{N}_]"
 
 _GATES = {
     "private_key": _has("PRIVATE KEY-----"),
@@ -246,7 +245,7 @@ _GATES = {
     "us_ssn": "rlike({x}, '[0-9]-[0-9]{{2}}-[0-9]{{4}}')",
     "ipv6_address": "rlike({x}, ':[A-Fa-f0-9]{{0,4}}:')",
     "internal_hostname":
-        "(contains({lc}, 'localhost') OR {fold}"
+        "(contains({lc}, 'localhost')"
         " OR rlike({lc}, '[.](?:internal|local|corp|lan|home[.]arpa)'))",
     "internal_url": f"({_has('://')} AND {_has_ci('http')})",
     "email_address": _has("@"),

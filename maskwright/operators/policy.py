@@ -8,7 +8,7 @@ from maskwright.functions.expr import lit
 from maskwright.operators.report import findings
 from maskwright.operators.redact import apply_replacements
 from maskwright.operators.resolve import resolved_spans
-from maskwright.plans.sanitize import Rules, with_candidates
+from maskwright.plans.sanitize import Rules, computed_once, with_candidates
 from maskwright.rules import ALWAYS_ON, PROFILES
 
 MAX_POLICIES = 100_000
@@ -34,7 +34,7 @@ def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies:
             coalesce(element_at(map({allowed}), _mw_profile), array(raise_error(
                 concat('Unknown profile: ', _mw_profile)))), v_c.cat)))"""
     joined = with_candidates(df, text_col, rules, into="_mw_candidates").join(named, source_col, "left")
-    return (joined.withColumn("spans", F.expr(resolved_spans(keep)))
+    return (computed_once(joined, "spans", resolved_spans(keep))
             .drop("_mw_candidates", "_mw_profile", "_mw_floor")
             .withColumn("clean_text", apply_replacements(text_col)))
 

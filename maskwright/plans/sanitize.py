@@ -16,15 +16,21 @@ from maskwright.rules import Detector, Rule, RuleSet
 Rules = RuleSet | Iterable[Rule | Detector] | None
 
 
-def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
-                    external: str | None = None, into: str = "candidates") -> DataFrame:
-    """Add every detected span, before overlap resolution.
+def computed_once(df: DataFrame, name: str, sql: str) -> DataFrame:
+    """Add a costly column that is computed once per row, whatever is done with it later.
 
-    ``external`` names an ARRAY<span> column with findings made elsewhere; they rank after all rules.
+    A filter on a projected column is pushed down by copying the column's expression. A generator's
+    output is never copied, while filters on other columns still move below it.
     """
+    return df.drop(name).select("*", F.explode(F.array(F.expr(sql))).alias(name))
+
+
+def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
+              external: str | None) -> tuple[DataFrame, str, list[str]]:
+    """The inputs of the candidate expression as helper columns, the expression, and their names."""
     ruleset = RuleSet.of(rules)
     jvm, python, detectors = detect.rule_plan(ruleset, min_confidence)
-    x, parts, extra = ident(text_col), [], []
+    x, parts, dynamic, extra = ident(text_col), [], [], []
     if jvm:
         # Gates come first, in generated code; a text that passes none stops there.
         df = (df.withColumn("_mw_lower", F.expr(detect.lower_text(x, jvm)))
@@ -33,13 +39,12 @@ def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confi
         extra += ["_mw_lower", "_mw_open"]
     if python:
         df = df.withColumn("_mw_python", detect.python_candidates(python)(F.col(text_col)))
-        parts.append("`_mw_python`")
+        parts.append("_mw_python")
         extra.append("_mw_python")
-    dynamic = []
     for ord_, d in detectors:
         name = f"_mw_detector_{ord_}"
         df = df.withColumn(name, d.column(F.col(text_col)))
-        dynamic.append(detect.span_to_candidate(f"coalesce(`{name}`, {empty_array(detect.SPAN_TYPE)})",
+        dynamic.append(detect.span_to_candidate(f"coalesce({name}, {empty_array(detect.SPAN_TYPE)})",
                                                 ord_, d.category))
         extra.append(name)
     if external:
@@ -50,17 +55,25 @@ def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confi
         dynamic = [f"filter({d}, v_c -> -v_c.nc >= {float(min_confidence)!r}D)" for d in dynamic]
     parts += dynamic
     if not parts:
-        both = empty_array(detect.CANDIDATE_TYPE)
-    else:
-        both = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
-    return df.withColumn(into, F.expr(both)).drop(*extra)
+        parts = [empty_array(detect.CANDIDATE_TYPE)]
+    return df, parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})", extra
+
+
+def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
+                    external: str | None = None, into: str = "candidates") -> DataFrame:
+    """Add every detected span, before overlap resolution.
+
+    ``external`` names an ARRAY<span> column with findings made elsewhere; they rank after all rules.
+    """
+    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external)
+    return computed_once(df, into, candidates).drop(*extra)
 
 
 def with_spans(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
                external: str | None = None, into: str = "spans") -> DataFrame:
     """Add the kept spans of each text as ``ARRAY<span>``."""
-    out = with_candidates(df, text_col, rules, min_confidence, external, "_mw_candidates")
-    return out.withColumn(into, F.expr(resolved_spans("`_mw_candidates`"))).drop("_mw_candidates")
+    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external)
+    return computed_once(df, into, resolved_spans(candidates)).drop(*extra)
 
 
 def sanitize(df: DataFrame, text_col: str = "text", rules: Rules = None, min_confidence: float = 0.0,

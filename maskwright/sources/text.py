@@ -11,6 +11,16 @@ def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan yields fewer partitions than that (few or small files).
+
+    Matching is bound by CPU, so a shuffle of a small input pays off; a large input has more
+    partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def require_text(df: DataFrame, text_col: str) -> DataFrame:
     """Fail before any job runs when there is no text to read."""
     if text_col not in df.columns:

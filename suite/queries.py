@@ -15,6 +15,7 @@ import maskwright as mw
 from maskwright.operators import external, policy, redact, report
 from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile
 from maskwright.sources.patterns import rules_from_entries
+from maskwright.sources.text import spread
 from maskwright.streaming import watch
 from suite import oracle, texts
 
@@ -38,7 +39,7 @@ def query(name: str, sql: str | None = None):
 def source(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run one of the text queries; its table name is replaced by the parquet file."""
     table = re.search(r"FROM (\w+)$", sql).group(1)
-    return spark.sql(re.sub(r"FROM \w+$", "FROM {t}", sql), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(re.sub(r"FROM \w+$", "FROM {t}", sql), t=spread(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -243,7 +244,7 @@ def dictionary_locations(spark, sf_dir):
     'call [PERSON] about 10' || ' or mail [EMAIL]' AS clean_text FROM lineitem""")
 def dictionary_persons_masked(spark, sf_dir):
     """Names of several words from the supplier table, masked together with rule findings."""
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem")).select(
         F.expr("l_orderkey * 10 + l_linenumber").alias("id"),
         F.expr("'call supplier#' || lpad(l_suppkey, 9, '0') || ' about 10 or mail a@b.org'").alias("text"))
     found = external.dictionary_entities(lines, "id", "text", table(spark, sf_dir, "supplier").select("s_name"), "PERSON")

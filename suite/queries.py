@@ -190,19 +190,18 @@ def user_detector(spark, sf_dir):
     return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text", [Detector("test", column, 1)]).select("id", "clean_text")
 
 
-class _OrderAnalyzer:
-    def analyze(self, text, language):
-        kinds = ("PERSON", "WEIRD_ENTITY", "IP_ADDRESS")
-        return [SimpleNamespace(entity_type=kinds[len(m.group()) % 3], start=m.start(), end=m.end(), score=0.8)
-                for m in re.finditer(r"^order \d+", text)]
-
-
 @query("analyzer_detector", f"""SELECT id, CASE length(regexp_extract(text, '^order [0-9]+')) % 3
     WHEN 0 THEN regexp_replace(text, '^order [0-9]+', '[PERSON]') WHEN 1 THEN regexp_replace(text, '^order [0-9]+', '[WEIRD_ENTITY]')
     ELSE text END AS clean_text FROM ({texts.ORDER_LOG})""")
 def analyzer_detector(spark, sf_dir):
-    """An analyzer object run once per Python worker; addresses are left to the network rules."""
-    return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text", [external.analyzer(_OrderAnalyzer)]).select("id", "clean_text")
+    """An analyzer object made once per Python worker; addresses are left to the network rules."""
+    class OrderAnalyzer:  # local, so that it travels to the workers by value
+        def analyze(self, text, language):
+            kinds = ("PERSON", "WEIRD_ENTITY", "IP_ADDRESS")
+            return [SimpleNamespace(entity_type=kinds[len(m.group()) % 3], start=m.start(), end=m.end(), score=0.8)
+                    for m in re.finditer(r"^order \d+", text)]
+
+    return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text", [external.analyzer(OrderAnalyzer)]).select("id", "clean_text")
 
 
 # ------------------------------------------------------------------ entities and dictionaries

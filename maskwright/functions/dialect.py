@@ -145,6 +145,16 @@ def java_pattern(pattern: str, lead: str | None = None) -> str:
     return f"(?{flags})" + (f"(?={lead})(?:{body})" if lead else body)
 
 
+def literal_prefix(pattern: str) -> str | None:
+    """Plain characters (three or more) every match starts with, when that is easy to see."""
+    m = re.match(r"[A-Za-z0-9 _/:=-]+", pattern)
+    if not m or "|" in pattern:
+        return None
+    optional = pattern[m.end():m.end() + 1] in ("*", "+", "?", "{")  # a quantifier covers the last one
+    prefix = m.group()[:-1] if optional else m.group()
+    return prefix if len(prefix) >= 3 else None
+
+
 def can_match_empty(pattern: str) -> bool:
     """True when a match may be zero characters wide (extract/split cannot locate such matches)."""
     try:

@@ -71,11 +71,11 @@ def label_counts(df: DataFrame, by: Sequence[str] = (), spans_col: str = "spans"
     return _labels(df, by, spans_col).groupBy(*by, "category", "label").agg(F.count("*").alias("n"))
 
 
-def rollup(df: DataFrame, by: Sequence[str], doc_key: str, spans_col: str = "spans") -> DataFrame:
-    """Counts by any keys with subtotals over category and label, and the documents affected.
+def rollup(df: DataFrame, by: Sequence[str], spans_col: str = "spans") -> DataFrame:
+    """Counts by any keys with subtotals over category and label, and the number of texts affected.
 
-    Distinct documents are counted without a distinct shuffle: each row first lists the subtotals
-    it contributes to, once each.
+    Each row is one text and lists the subtotals it contributes to, once each, so texts are counted
+    without a distinct shuffle.
     """
     sp = ident(spans_col)
     levels = f"""array_distinct(concat(
@@ -84,7 +84,7 @@ def rollup(df: DataFrame, by: Sequence[str], doc_key: str, spans_col: str = "spa
         transform({sp}, v_s -> named_struct('category', CAST(NULL AS STRING), 'label', CAST(NULL AS STRING)))))"""
     rows = (
         df.where(F.expr(f"size({sp}) > 0"))
-        .select(*by, doc_key, F.expr(sp).alias("v_spans"), F.expr(f"explode({levels})").alias("lv"))
+        .select(*by, F.expr(sp).alias("v_spans"), F.expr(f"explode({levels})").alias("lv"))
         .select(*by, "lv.category", "lv.label", F.expr("""bigint(size(filter(v_spans, v_s ->
             (lv.category IS NULL OR v_s.category = lv.category)
             AND (lv.label IS NULL OR v_s.label = lv.label))))""").alias("n_spans"))

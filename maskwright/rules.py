@@ -318,10 +318,10 @@ def profile_names() -> list[str]:
 
 def rules_for_profile(profile: str, custom: Sequence[Rule] = (), pii: bool = True) -> list[Rule]:
     """The categories of a named profile, plus custom and pii rules, which always run."""
-    key = profile.lower()
-    if key not in PROFILES:
-        raise ValueError(f"Unknown profile: {profile!r}. Available profiles: {', '.join(profile_names())}")
-    rules = [rule for name in PROFILES[key] for rule in _GROUPS[name]()]
+    categories = PROFILES.get(profile.lower())
+    if categories is None:
+        raise ValueError(f"Unknown profile: {profile!r} (known: {', '.join(profile_names())})")
+    rules = [rule for name in categories for rule in _GROUPS[name]()]
     return [*rules, *custom, *(pii_rules() if pii else ())]
 
 

@@ -7,22 +7,24 @@ import re
 
 from pyspark.sql import SparkSession
 
+from maskwright.functions.dialect import literal_prefix
+from maskwright.functions.expr import lit
 from maskwright.rules import PRIORITIES, Rule
 
 # What an entry means when a field is missing.
-DEFAULT_REPLACEMENT, DEFAULT_LABEL, DEFAULT_CONFIDENCE = "[CUSTOM]", "custom", 1.0
+DEFAULTS = {"replacement": "[CUSTOM]", "label": "custom", "confidence": 1.0}
 
 
 def rules_from_entries(entries: list[dict]) -> list[Rule]:
     """Rules in file order. Raises ``KeyError`` without a pattern and ``re.error`` on a bad one."""
-    rules = []
-    for entry in entries:
-        re.compile(entry["pattern"])
-        rules.append(Rule(
-            "custom", entry.get("label", DEFAULT_LABEL), entry["pattern"],
-            entry.get("replacement", DEFAULT_REPLACEMENT), float(entry.get("confidence", DEFAULT_CONFIDENCE)),
-            PRIORITIES["custom"]))
-    return rules
+    return [_rule(**{**DEFAULTS, "pattern": entry["pattern"], **entry}) for entry in entries]
+
+
+def _rule(pattern: str, replacement: str, label: str, confidence, **_ignored) -> Rule:
+    re.compile(pattern)
+    prefix = literal_prefix(pattern)
+    gate = f"contains({{x}}, {lit(prefix)})" if prefix else None
+    return Rule("custom", label, pattern, replacement, float(confidence), PRIORITIES["custom"], gate=gate)
 
 
 def read_patterns(spark: SparkSession, path: str, on_error: str = "raise") -> list[Rule]:

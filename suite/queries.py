@@ -272,7 +272,7 @@ def report_by_source_category(spark, sf_dir):
     _KEPT, select="""SELECT source, cat AS category, lab AS label, count(*) AS n_spans, count(DISTINCT id) AS n_docs
     FROM kept JOIN docs USING (id) GROUP BY GROUPING SETS ((source, cat, lab), (source, cat), (source))"""))
 def rollup_source(spark, sf_dir):
-    return report.rollup(mw.with_spans(corpus(spark, sf_dir), "text"), ["source"], "id")
+    return report.rollup(mw.with_spans(corpus(spark, sf_dir), "text"), ["source"])
 
 
 @query("report_per_text", oracle.with_recursive(_KEPT, oracle.clean(), """

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from maskwright import RuleSet, default_rules, profile_names, rules_for_profile, sanitize, sanitize_text
-from maskwright.functions.dialect import Unsupported, java_pattern, runs_on_jvm
+from maskwright.functions.dialect import Unsupported, java_pattern, literal_prefix, runs_on_jvm
 from maskwright.rules import Rule, profiles_dataframe, rules_dataframe
 from maskwright.sources.patterns import read_patterns
 
@@ -19,7 +19,7 @@ def test_profiles():
     assert categories(rules_for_profile("k8s")) == {"secrets", "network", "pii"}
     assert categories(rules_for_profile("SECRETS", [Rule("custom", "c", "x", "y")])) == {"secrets", "custom", "pii"}
     assert categories(rules_for_profile("network")) == {"network", "pii"}
-    with pytest.raises(ValueError, match="Unknown profile: 'bogus'. Available profiles: aws, k8s, network, secrets"):
+    with pytest.raises(ValueError, match=r"Unknown profile: 'bogus' \(known: aws, k8s, network, secrets\)"):
         rules_for_profile("bogus")
 
 
@@ -97,6 +97,8 @@ def test_missing_pattern_file_and_bad_types(spark, tmp_path):
 
 def test_dialect():
     assert runs_on_jvm(r"ticket-\d+") and runs_on_jvm(r"(?i)a{2,3}\b[\w.-]+")
+    assert [literal_prefix(p) for p in (r"ticket-\d+", "abcd?e", "abcde", "abc|d", "(?i)abc", "ab", "a.b", r"abc\d|x", "abc{2}")] == [
+        "ticket-", "abc", "abcde", None, None, None, None, None, None]
     for pattern in (r"(?P<n>x)", r"(ab)+", r"(a|b)*c", r"(.)\1", r"q*", r"(?x) a", r"a|", r"(?=x)", "(?i)é"):
         assert not runs_on_jvm(pattern), pattern
     with pytest.raises(Unsupported):

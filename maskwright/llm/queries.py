@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import exact_dedup
+from maskwright.llm import exact_dedup, language_id, mixing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
 @query("op4_exact_dedup", """
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
          g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
@@ -32,3 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     FROM d JOIN g USING (t)""")
 def op4(spark, sf_dir):
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pareto_mixing")
+def op2(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ppm_language")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    trees = language_id.train(docs.where(fold("doc_id", 5) != 0))
+    return language_id.predict(docs, trees, extra={"held_out": held_out})
+
+
+@query("op6_zstd_secrets")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.find_secrets(docs, secrets.identifiers(docs))
+
+
+@query("op9_semicrf_pii")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs))

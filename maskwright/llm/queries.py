@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import exact_dedup, language_id, mixing, pii, secrets
+from maskwright.llm import chat, exact_dedup, language_id, mixing, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,27 @@ def op6(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pii.find_pii(docs, pii.train(docs))
+
+
+#: A conversation that speaks of markers itself.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+@query("op3_chat_format", f"""
+    WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}')
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(13 + length(regexp_replace(role || text, '[\\<>]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id""")
+def op3(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], talks.schema)
+    return chat.digest(chat.format_turns(talks.unionByName(tricky)))
+
+
+@query("op1_pivot_vectors")
+def op1(spark, sf_dir):
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))

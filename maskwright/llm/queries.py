@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import chat, exact_dedup, language_id, mixing, pii, secrets, vector_dedup
+from maskwright.llm import chat, exact_dedup, language_id, mixing, ngram_join, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,25 @@ def op3(spark, sf_dir):
 @query("op1_pivot_vectors")
 def op1(spark, sf_dir):
     return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: Links between documents (u < v) on distinct five-word shingles, then the smallest id reachable.
+JACCARD_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+    n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+    t AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM s),
+    p AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id
+          JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+    e AS MATERIALIZED (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+    r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.v, r.c FROM r JOIN e ON r.id = e.u WHERE r.c < e.v)
+    SELECT r.id AS doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id
+    FROM r JOIN n ON n.doc_id = r.id GROUP BY r.id, n.n"""
+
+
+@query("op8_ngram_jaccard", JACCARD_SQL)
+def op8(spark, sf_dir):
+    return ngram_join.join_report(table(spark, sf_dir, "documents")).drop("kept")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import chat, exact_dedup, language_id, mixing, ngram_join, pii, secrets, vector_dedup
+from maskwright.llm import chat, exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,15 @@ JACCARD_SQL = r"""
 @query("op8_ngram_jaccard", JACCARD_SQL)
 def op8(spark, sf_dir):
     return ngram_join.join_report(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def tokenizer_file() -> str:
+    """The public byte-level BPE that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_deficit_packing")
+def op5(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)

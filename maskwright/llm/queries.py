@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import chat, exact_dedup, language_id, mixing, ngram_join, packing, pii, secrets, vector_dedup
+from maskwright.llm import chat, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,9 @@ def tokenizer_file() -> str:
 @query("op5_deficit_packing")
 def op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
+
+
+@query("op7_logistic_mixing")
+def op7(spark, sf_dir):
+    held_out = fold("doc_id", 7) == 2
+    return mixing_lm.score(table(spark, sf_dir, "documents"), ~held_out, held_out)

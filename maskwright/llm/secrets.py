@@ -6,7 +6,8 @@ placeholders and names used nearby cost little; random strings cost nearly their
 their length, and hold letters and digits, are reported as ``novel``.
 
 The identifier dictionary holds the most frequent identifiers of all texts that hold a sensitive word, most frequent last, where
-the compressor reaches them cheapest; it is at most ``DICTIONARY_BYTES``. Every text is searched whole.
+the compressor reaches them cheapest; it is at most ``DICTIONARY_BYTES``. Identifiers are letters and underscores only, so that a
+secret with many copies doesn't become a known word. Every text is searched whole.
 
 Defined results: a null text counts as empty; an empty text has no spans. Rows are independent, so repeated rows get equal
 results; repeated rows count as often in the dictionary as they occur. Equally frequent identifiers come in code-point order.
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "novel")
 NOVEL = 0.7
 AROUND = 512
 DICTIONARY_BYTES = 16_384
-LONGEST_IDENTIFIER = 40
+LONGEST_IDENTIFIER = 24
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
@@ -78,7 +79,7 @@ def identifiers(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY_
     """The identifier dictionary. The driver gets at most ``most`` bytes of words, and their counts."""
     text = F.col(f"`{text_col}`").cast("string")
     words = (docs.where(text.rlike(f"(?i)(?:{SENSITIVE})"))
-             .select(F.explode(F.regexp_extract_all(text, F.lit(rf"[A-Za-z_][A-Za-z0-9_]{{3,{LONGEST_IDENTIFIER - 1}}}"), F.lit(0))).alias("word")))
+             .select(F.explode(F.regexp_extract_all(text, F.lit(rf"[A-Za-z_]{{4,{LONGEST_IDENTIFIER}}}"), F.lit(0))).alias("word")))
     top = (words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most // 5).collect())
     kept, size = [], 0
     for r in top:

@@ -78,7 +78,7 @@ def table_of(hashes: DataFrame, repeated: bool = False, log2_bits: int = LOG2_BI
     segments = max(1, 1 << (log2_bits - SEGMENT_BITS))
     merged = (
         hashes.mapInArrow(_partial(log2_bits), "segment int, hit binary, hit_again binary")
-        .repartition(segments, "segment")
+        .repartition(segments, "segment").coalesce(segments)
         .mapInArrow(_merge(repeated), "segment int, bits binary")
     )
     table = np.zeros(segments << (SEGMENT_BITS - 3), np.uint8)

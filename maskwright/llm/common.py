@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -26,13 +27,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs its running tasks, not the work before. Files go when the JVM ends.
+    Cuts the lineage: a lost executor costs its running tasks, not the work before. Files go when the JVM ends. ``parts`` is the
+    number of tasks that its size is worth, where that is known; more partitions than that are put together.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if parts:
+        df = df.coalesce(parts)
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,10 +56,19 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def batches(frames: Iterable[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Cast what an operator makes to the declared types."""
+def pieces(frames: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a column of strings holds at most ``most`` bytes, or one row: bounds what an operator unpacks at once."""
     for b in frames:
-        yield pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) for f in schema], schema=schema)
+        if b.num_rows == 0:
+            yield b
+            continue
+        sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < b.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(start, end - start)
+            start = end
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,3 +94,15 @@ def sample_by_hash(rows: DataFrame, hash_column: str, most: int) -> DataFrame:
     if share < 1:
         rows = rows.where(F.col(hash_column) < F.lit(int(share * 2.0**64) - 2**63))
     return rows.orderBy(hash_column, *[c for c in rows.columns if c != hash_column]).limit(most)
+
+
+def least_count(counted: DataFrame, column: str, most: int) -> int:
+    """The least count such that at most ``most`` rows have it or more. The driver gets a histogram of the counts."""
+    histogram = counted.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc(column)).collect()
+    least, kept = (histogram[0][0] if histogram else 0) + 1, 0
+    for value, n in histogram:
+        kept += n
+        if kept > most:
+            break
+        least = value
+    return least

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from maskwright.llm.common import staged
 
 MOST_ROUNDS = 64
+LINKS_PER_TASK = 200_000
 
 
-def _star(links: DataFrame, large: bool, tag: str) -> DataFrame:
+def _star(links: DataFrame, large: bool, tag: str, parts: int) -> DataFrame:
     """Large star: neighbours above a node move to its smallest neighbour. Small star: those below do, and the node itself.
 
     ``links`` has each link once, as u > v. The minima are written first, so that the join meets two plain tables and can split
@@ -21,10 +22,10 @@ def _star(links: DataFrame, large: bool, tag: str) -> DataFrame:
     """
     if large:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), tag)
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), tag, parts)
         moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = staged(links.groupBy("u").agg(F.min("v").alias("m")), tag)
+        least = staged(links.groupBy("u").agg(F.min("v").alias("m")), tag, parts)
         moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
 
@@ -42,7 +43,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v", tag: str = "compone
     links = staged(links.where("not n and u <> v").select("u", "v").distinct(), tag)
     state = _state(links)
     for _ in range(MOST_ROUNDS):  # until it is a forest of stars: every u has one v, and no v is a u
-        links = staged(_star(staged(_star(links, True, tag), tag), False, tag), tag)
+        parts = 8 + state[0] // LINKS_PER_TASK
+        links = staged(_star(staged(_star(links, True, tag, parts), tag, parts), False, tag, parts), tag, parts)
         before, state = state, _state(links)
         if state == before:
             break

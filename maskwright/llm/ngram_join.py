@@ -1,16 +1,15 @@
 """Exact Jaccard join on word shingles through a token-group matrix.
 
-Texts with equal sets are one class. Classes that are similar are partitioned into groups: those that share one of their rarest
-tokens are compared with the first and the last class of that token, and what is linked forms a group. The matrix of tokens by
-groups holds, for each group, the union of its members' tokens. A class is compared with a group only if the matrix shows overlap
+Texts with equal sets are one class. Classes that are similar are partitioned into groups: each class is compared with the leaders
+of its rarest shared tokens, where a token's leader is the class that has the fewest rarer ones, as the original of many copies
+has, and what is linked forms a group. The matrix of tokens by groups holds, for each group, the union of its members' tokens. A class is compared with a group only if the matrix shows overlap
 enough for a link: with the limit t, a link of sets of sizes m and n needs ``t / (1 + t) * (m + n)`` common tokens, so that of any
 ``k`` of them one is among the first ``m - needed + k`` tokens of a set, under any order of tokens common to all. Only such
 prefixes are indexed, with frequent tokens last; a class must share ``k`` indexed tokens with a group's union, at places that leave
 enough to come and with a size that fits. Qualifying groups are opened: their members are compared exactly. As members of a group
 are connected already, only pairs of different groups matter, and a group of many near copies costs no pairs within itself.
 
-The order of tokens affects speed only: frequent tokens are counted in tasks where they are frequent, and the ``HOT`` most frequent
-of them go last. Sets are compared by hashes of 40 bits within a pair, of 64 bits as classes.
+The order of tokens affects speed only: those of ``HOT_LEAST`` classes or more go last, by frequency, ``HOT`` of them at most. Sets are compared by hashes of 40 bits within a pair, of 64 bits as classes.
 
 Defined results: a null text counts as empty; texts without words have an empty set and link with nothing. Rows that repeat an id
 are documents of their own; where a component holds null ids, its smallest non-null id names it. Other columns may have any names.
@@ -24,21 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskwright.llm import bloom
-from maskwright.llm.common import staged, text_buffer, text_or_empty
+from maskwright.llm.common import least_count, pieces, staged, text_buffer, text_or_empty
 from maskwright.llm.components import components
 from maskwright.llm.shingles import shingle_sets
 
 LIMIT = 80  # hundredths
-HOT = 1 << 18
-HOT_SHARE = 2000  # a token is frequent from one in so many documents
+HOT = 1 << 20
+HOT_LEAST = 6
 FLUSH = 2_000_000  # tokens held by a task
-BUCKET = 1_500_000  # prefix tokens in a bucket, about
-NEAR = 4  # places at the head of a prefix that make groups
-PROBE = 24  # places that are tried against one member of each other group
+BUCKET_BYTES = 1 << 26  # bytes of text per bucket of tokens
+NEAR = 6  # shared tokens of a class whose leaders it is compared with
+PROBE = 16  # shared tokens of a class that are tried against the leader of another group
 PART = 1024  # pairs of one class that a task compares
+PAIRS_PER_TASK = 10_000
+ROWS_PER_TASK = 500_000
 
 
 def _slack(n):
@@ -59,55 +60,107 @@ def _class_id(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _keys(tokens: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of each token, and 32 more of its bits."""
+    return (tokens & np.uint64(buckets - 1)).astype(np.int32), ((tokens >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> tuple[pa.Array, list[pa.Array]]:
+    """Buckets that occur, and for each column the values of each bucket as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*cuts[1:], len(bucket)]
+    return pa.array(bucket[cuts], pa.int32()), [pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for c in (c[order] for c in columns)]
+
+
 # ------------------------------------------------------------------ first pass: classes and frequent tokens
-def _first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text (id, n, cid), and now and then a row with tokens that were frequent lately."""
-    held, docs = [], 0
-    size = 0
-
-    def frequent(id_type):
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= max(4, docs // HOT_SHARE)
-        packed = token[often].astype("<u8").tobytes() + n[often].astype("<u8").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([None], id_type), pa.array([None], pa.int32()), pa.array([None], pa.int64()),
-                                           pa.array([packed], pa.binary())], names=["doc_id", "n", "cid", "hot"])
-    id_type = None
+def _first(buckets: int):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per text (id, n, cid), and rows of tokens to be counted, by bucket."""
+        names = ["doc_id", "n", "cid", "bucket", "tokens"]
+        held, seen, size, id_type = [], set(), 0, None
+
+        def flush():
+            bucket, short = _keys(np.concatenate(held), buckets)
+            bucket, (tokens,) = _by_bucket(bucket, [short])
+            m = len(bucket)
+            return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), bucket, tokens], names=names)
+
+        for b in pieces(frames, "text"):
+            id_type = b.schema.field(0).type
+            n, cid = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, None, object)
+            for i, tokens in enumerate(shingle_sets(*text_buffer(b.column(1)))):
+                if len(tokens):
+                    n[i], cid[i] = len(tokens), _class_id(tokens)
+                    if cid[i] not in seen:
+                        seen.add(cid[i])
+                        held.append(tokens)
+                        size += len(held[-1])
+                        if size >= FLUSH:
+                            yield flush()
+                            held, size = [], 0
+                            seen.clear()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(cid, pa.int64()), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())], names=names)
+        if size:
+            yield flush()
+    return run
+
+
+def _frequent(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets come whole: tokens of HOT_LEAST classes or more."""
+    for bucket, (tokens,) in _whole(frames, ["<u4"]):
+        token, n = np.unique(tokens, return_counts=True)
+        often = n >= HOT_LEAST
+        yield pa.RecordBatch.from_arrays([pa.array((token[often].astype(np.int64) << 24) | bucket), pa.array(n[often])], names=["token", "n"])
+
+
+def _whole(frames: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Rows of blobs, sorted by bucket, as whole buckets."""
+    def joined(held):
+        return [np.frombuffer(b"".join(h[k] for h in held), kind) for k, kind in enumerate(kinds)]
+    now, held = None, []
     for b in frames:
-        id_type = b.schema.field(0).type
-        n, cid = np.zeros(b.num_rows, np.int32), np.full(b.num_rows, None, object)
-        for i, tokens in enumerate(shingle_sets(*text_buffer(b.column(1)))):
-            if len(tokens):
-                n[i], cid[i] = len(tokens), _class_id(tokens)
-                held.append(tokens)
-                size += len(tokens)
-                docs += 1
-                if size >= FLUSH:
-                    yield frequent(id_type)
-                    held.clear()
-                    docs = size = 0
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(cid, pa.int64()), pa.nulls(b.num_rows, pa.binary())],
-                                         names=["doc_id", "n", "cid", "hot"])
+        for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns)):
+            if bucket != now:
+                if held:
+                    yield now, joined(held)
+                now, held = bucket, []
+            held.append(blobs)
     if held:
-        yield frequent(id_type)
+        yield now, joined(held)
 
 
-def _unpack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in frames:
-        for packed in b.column(0).to_pylist():
-            both = np.frombuffer(packed, "<u8").astype(np.int64).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["token", "n"])
+def _to_buckets(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartition(buckets, "bucket").coalesce(buckets).sortWithinPartitions("bucket")
 
 
-def frequent_tokens(first: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, sorted, and their rank: at most HOT of them come to the driver."""
-    counted = first.where("hot is not null").select("hot").mapInArrow(_unpack, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= max(8, n_docs // HOT_SHARE)).orderBy(F.desc("n"), "token").limit(HOT).toPandas()
-    token = top["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    return token[order], len(token) - order  # the most frequent has the highest rank
+def frequent_tokens(first: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the most frequent tokens, sorted, and their ranks: at most HOT of them come to the driver."""
+    sent = _to_buckets(first.where("bucket is not null").select("bucket", "tokens"), buckets)
+    counted = staged(sent.mapInArrow(_frequent, "token long, n long"), "ngram-frequent", buckets)
+    top = counted.where(F.col("n") >= least_count(counted, "n", HOT)).toPandas().sort_values(["n", "token"])
+    key, rank = top["token"].to_numpy(np.int64), np.arange(len(top))
+    order = np.argsort(key)
+    return key[order], rank[order]
 
 
 # ------------------------------------------------------------------ second pass: prefixes, by token
+def _ordered(tokens: np.ndarray, length: int, hot: np.ndarray, rank: np.ndarray, buckets: int) -> np.ndarray:
+    """The first tokens of a set: others by hash, then frequent ones by rank."""
+    if not len(hot):
+        return tokens[:length]
+    for most in (min(len(tokens), 2 * length + 8), len(tokens)):  # nearly always the first ones are enough
+        bucket, short = _keys(tokens[:most], buckets)
+        key = (short.astype(np.int64) << 24) | bucket
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        often = hot[at] == key
+        cold = tokens[:most][~often][:length]
+        if len(cold) == length:
+            return cold
+    return np.concatenate([cold, tokens[often][np.argsort(rank[at[often]], kind="stable")][: length - len(cold)]])
+
+
 def _prefixes(shared, limit: int, buckets: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = shared.value
@@ -116,35 +169,21 @@ def _prefixes(shared, limit: int, buckets: int):
         size = 0
 
         def flush():
-            token, cid = np.concatenate([p[0] for p in parts]), np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
-            n = np.concatenate([np.full(len(p[0]), p[2], "<i4") for p in parts])
-            place = np.concatenate([np.minimum(np.arange(len(p[0])), 65535).astype("<u2") for p in parts])
-            bucket = (token & np.uint64(buckets - 1)).astype(np.int32)
-            short = ((token >> np.uint64(20)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-            order = np.lexsort((short, bucket))
-            bucket, columns = bucket[order], [short[order], cid.astype("<i8")[order], n[order], place[order]]
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cuts[1:], len(bucket))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts], pa.int32()), *[pa.array([c[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for c in columns]],
-                names=["bucket", "token", "cid", "n", "place"])
-
-        for b in frames:
+            bucket, short = _keys(np.concatenate([p[0] for p in parts]), buckets)
+            lengths = [len(p[0]) for p in parts]
+            cid, n = (np.repeat(np.array([p[k] for p in parts], t), lengths) for k, t in ((1, "<i8"), (2, "<i4")))
+            place = np.concatenate([np.minimum(np.arange(m), 65535) for m in lengths]).astype("<u2")
+            bucket, columns = _by_bucket(bucket, [short, cid, n, place])
+            return pa.RecordBatch.from_arrays([bucket, *columns], names=["bucket", "token", "cid", "n", "place"])
+
+        for b in pieces(frames, "text"):
             for tokens in shingle_sets(*text_buffer(b.column(0))):
                 n = len(tokens)
                 if not n or (cid := _class_id(tokens)) in seen:
                     continue
                 seen.add(cid)
-                length = prefix_length(n, limit)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                    often = hot[at] == tokens
-                    if often[:length].any():
-                        cold = tokens[~often][:length]
-                        last = tokens[often][np.argsort(rank[at[often]], kind="stable")][: length - len(cold)]
-                        tokens = np.concatenate([cold, last])
-                parts.append((tokens[:length], cid, n))
-                size += length
+                parts.append((_ordered(tokens, prefix_length(n, limit), hot, rank, buckets), cid, n))
+                size += len(parts[-1][0])
                 if size >= FLUSH:
                     yield flush()
                     parts.clear()
@@ -156,9 +195,8 @@ def _prefixes(shared, limit: int, buckets: int):
 
 
 def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket, which comes whole, the entries whose token has two classes or more."""
-    def reduce(bucket, held):
-        token, cid, n, place = (np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate(("<u4", "<i8", "<i4", "<u2")))
+    """Buckets come whole: the entries whose token has two classes or more."""
+    for bucket, (token, cid, n, place) in _whole(frames, ["<u4", "<i8", "<i4", "<u2"]):
         order = np.lexsort((cid, token))
         token, cid, n, place = token[order], cid[order], n[order], place[order]
         own = np.ones(len(token), bool)
@@ -168,25 +206,26 @@ def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[1:] = token[1:] == token[:-1]
         shared[:-1] |= shared[1:]
         key = (token[shared].astype(np.int64) << 24) | bucket
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid[shared]), pa.array(n[shared]), pa.array(place[shared].astype(np.int32))],
-                                          names=["token", "cid", "n", "place"])
-    now, held = None, []
-    for b in frames:
-        for bucket, *blobs in zip(*(c.to_pylist() for c in b.columns)):
-            if bucket != now:
-                if held:
-                    yield reduce(now, held)
-                now, held = bucket, []
-            held.append(blobs)
-    if held:
-        yield reduce(now, held)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid[shared]), pa.array(n[shared]), pa.array(place[shared].astype(np.int32))],
+                                         names=["token", "cid", "n", "place"])
+
+
+def _trimmed(runs: DataFrame, limit: int) -> DataFrame:
+    """Runs without classes that share too few indexed tokens for any link, then without tokens that are no longer shared."""
+    parts = 8 + runs.count() // ROWS_PER_TASK
+    needed = 1 + F.floor(F.ceil(F.first("n") * limit / 100) / 32)
+    enough = staged(runs.groupBy("cid").agg(F.count("*").alias("k"), needed.alias("needed")).where("k >= needed").select("cid"), "ngram-enough", parts)
+    kept = staged(runs.join(enough, "cid"), "ngram-kept", parts)
+    shared = staged(kept.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "ngram-shared", parts)
+    turn = F.row_number().over(Window.partitionBy("cid").orderBy("place", "token"))
+    return staged(kept.join(shared, "token").withColumn("turn", turn), "ngram-trimmed", parts)
 
 
 # ------------------------------------------------------------------ exact comparison
 def _sets_of(shared):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sets of the texts whose id may be wanted: class, and the low 40 bits of its tokens."""
-        for b in frames:
+        for b in pieces(frames, "text"):
             wanted = bloom.found(shared.value, b.column(0).to_numpy(zero_copy_only=False))
             cids, sets = [], []
             for tokens in shingle_sets(*text_buffer(b.column(1).filter(pa.array(wanted)))):
@@ -228,14 +267,15 @@ def _verify(limit: int):
 
 def compare(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked. The pairs of one class are split over tasks, PART to each."""
-    pairs = staged(pairs, "ngram-pairs")
-    parts = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "ngram-parts")
+    pairs = staged(pairs, "ngram-pairs", 64)
+    tasks = 8 + pairs.count() // PAIRS_PER_TASK
+    parts = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "ngram-parts", tasks)
     right = (pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
              .join(sets.withColumnRenamed("cid", "b"), "b").select("a", "part", "b", "tokens"))
     left = (parts.join(sets.withColumnRenamed("cid", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("a", "part", F.lit(None).cast("long").alias("b"), "tokens"))
-    rows = left.unionByName(right).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return staged(rows.select("a", "b", "tokens").mapInArrow(_verify(limit), "a long, b long"), "ngram-links")
+    rows = left.unionByName(right).repartition(tasks, "a", "part").coalesce(tasks).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return staged(rows.select("a", "b", "tokens").mapInArrow(_verify(limit), "a long, b long"), "ngram-links", tasks)
 
 
 def _fits(m: Column, n: Column, limit: int) -> Column:
@@ -246,38 +286,41 @@ def _pairs(a: Column, b: Column, df: DataFrame) -> DataFrame:
     return df.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _mixed(runs: DataFrame, links: DataFrame) -> DataFrame:
+def _groups(links: DataFrame) -> DataFrame:
+    return staged(components(links, "a", "b", "ngram-groups").withColumnRenamed("node", "cid"), "ngram-members", 64)
+
+
+def _mixed(runs: DataFrame, groups: DataFrame) -> DataFrame:
     """Runs with the group of each class, of the tokens that several groups share."""
-    groups = staged(components(links, "a", "b", "ngram-groups"), "ngram-members")
-    named = staged(runs.join(groups.withColumnRenamed("node", "cid"), "cid", "left")
-                   .select("token", "cid", "n", "place", F.coalesce("component", "cid").alias("g")), "ngram-named")
-    several = staged(named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "ngram-several")
+    named = staged(runs.join(groups, "cid", "left").withColumn("g", F.coalesce("component", "cid")).drop("component"), "ngram-named")
+    several = staged(named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "ngram-several", 64)
     return staged(named.join(several, "token"), "ngram-mixed")
 
 
-def link_classes(runs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
-    """Links that connect all classes that are connected, as (a, b)."""
-    # groups: by the tokens at the head of the prefixes
-    head = runs.where(F.col("place") < NEAR)
-    ends = staged(head.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("x"), F.max(F.struct("cid", "n")).alias("y"))
-                  .where("x.cid <> y.cid"), "ngram-heads")
-    tried = head.join(ends, "token")
-    tried = (tried.where(_fits(F.col("n"), F.col("x.n"), limit)).select("cid", F.col("x.cid").alias("o"))
-             .union(tried.where(_fits(F.col("n"), F.col("y.n"), limit)).select("cid", F.col("y.cid").alias("o"))))
-    links = compare(_pairs(F.col("cid"), F.col("o"), tried), sets, limit)
-
-    # one member of each other group, for each token near the head: joins what is alike but has no common head
-    mixed = _mixed(runs, links)
-    near = mixed.where(F.col("place") < PROBE)
-    one = staged(near.groupBy("token", "g").agg(F.min(F.struct("place", "cid", "n")).alias("m")).select("token", "g", "m.cid", "m.n"), "ngram-probe")
-    q, s = near.alias("q"), one.alias("s")
-    probed = q.join(s, (F.col("q.token") == F.col("s.token")) & (F.col("q.g") != F.col("s.g")) & _fits(F.col("q.n"), F.col("s.n"), limit)
-                    & (F.col("q.n") - F.col("q.place") >= F.ceil((F.col("q.n") + F.col("s.n")) * F.lit(limit) / F.lit(100 + limit))
-                       - F.floor(F.least("q.n", "s.n") / 32)))
-    links = staged(links.union(compare(_pairs(F.col("q.cid"), F.col("s.cid"), probed), sets, limit)), "ngram-links")
+def _leaders(runs: DataFrame) -> DataFrame:
+    """For each token the class that comes to it first, with the fewest rarer tokens."""
+    return runs.groupBy("token").agg(F.min(F.struct(*[c for c in ("place", "cid", "n", "g") if c in runs.columns])).alias("x"))
+
+
+def group_classes(runs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Classes that are linked to others, with their component: (cid, component)."""
+    # groups: each class with the leaders of its first shared tokens
+    first = staged(_leaders(runs), "ngram-leaders")
+    tried = runs.where(F.col("turn") <= NEAR).join(first, "token").where(_fits(F.col("n"), F.col("x.n"), limit))
+    links = compare(_pairs(F.col("cid"), F.col("x.cid"), tried), sets, limit)
+
+    # the leader of one other group for each of some tokens: joins what is alike but has no leader in common
+    mixed = _mixed(runs, _groups(links))
+    first = staged(_leaders(mixed), "ngram-leaders")
+    second = staged(_leaders(mixed.join(first, "token").where(F.col("g") != F.col("x.g")).drop("x")).withColumnRenamed("x", "y"), "ngram-leaders")
+    other = F.when(F.col("g") != F.col("x.g"), F.col("x")).otherwise(F.col("y"))
+    probed = (mixed.where(F.col("turn") <= PROBE).join(first.join(second, "token"), "token").withColumn("o", other)
+              .where(_fits(F.col("n"), F.col("o.n"), limit)))
+    links = staged(links.union(compare(_pairs(F.col("cid"), F.col("o.cid"), probed), sets, limit)), "ngram-links", 64)
 
     # the matrix: tokens by groups, and what a class can have in common with a group at most
-    mixed = _mixed(runs, links)
+    groups = _groups(links)
+    mixed = _mixed(runs, groups)
     matrix = staged(mixed.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("place")), "ngram-matrix")
     q, s = mixed.alias("q"), matrix.alias("s")
     n = F.col("q.n")
@@ -288,10 +331,11 @@ def link_classes(runs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
                   & (n - F.col("q.place") >= needed) & (F.col("s.most") - F.col("s.place") >= needed))
     bound = (hits.groupBy(F.col("q.cid").alias("cid"), n.alias("n"), F.col("s.g").alias("g"))
              .agg(F.count("*").alias("hits"), F.min("s.least").alias("least")))
-    open_ = staged(bound.where(F.col("hits") >= 1 + F.floor(F.least("n", F.greatest("least", F.ceil(F.col("n") * limit / 100))) / 32)), "ngram-open")
-    members = staged(mixed.select("g", F.col("cid").alias("m"), F.col("n").alias("mn")).distinct(), "ngram-open-members")
+    open_ = staged(bound.where(F.col("hits") >= 1 + F.floor(F.least("n", F.greatest("least", F.ceil(F.col("n") * limit / 100))) / 32)), "ngram-open", 64)
+    members = staged(mixed.select("g", F.col("cid").alias("m"), F.col("n").alias("mn")).distinct(), "ngram-open-members", 64)
     opened = open_.join(members, "g").where(_fits(F.col("n"), F.col("mn"), limit))
-    return links.union(compare(_pairs(F.col("cid"), F.col("m"), opened), sets, limit))
+    more = compare(_pairs(F.col("cid"), F.col("m"), opened), sets, limit)
+    return groups if more.isEmpty() else _groups(links.union(more))
 
 
 # ------------------------------------------------------------------ the operator
@@ -300,24 +344,23 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    first = staged(texts.mapInArrow(_first, f"doc_id {kind}, n int, cid long, hot binary"), "ngram-first")
-    rows = first.where("hot is null").select("doc_id", "n", "cid")
-    size = rows.agg(F.count("*").alias("docs"), F.sum(F.col("n").cast("long")).alias("tokens")).first()
-    hot = spark.sparkContext.broadcast(frequent_tokens(first, size.docs))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = 1 << min(20, max(3, math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
 
-    indexed = (size.tokens or 0) * (100 - limit + 4) / 100
-    buckets = 1 << min(24, max(3, math.ceil(math.log2(max(1, indexed / BUCKET)))))
+    first = staged(texts.mapInArrow(_first(buckets), f"doc_id {kind}, n int, cid long, bucket int, tokens binary"), "ngram-first")
+    rows = first.where("bucket is null").select("doc_id", "n", "cid")
+    hot = spark.sparkContext.broadcast(frequent_tokens(first, buckets))
     prefixes = texts.select("text").mapInArrow(_prefixes(hot, limit, buckets), "bucket int, token binary, cid binary, n binary, place binary")
-    runs = staged(prefixes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_runs, "token long, cid long, n int, place int"), "ngram-runs")
+    runs = staged(_to_buckets(prefixes, buckets).mapInArrow(_runs, "token long, cid long, n int, place int"), "ngram-runs")
+    runs = _trimmed(runs, limit)
 
-    wanted = staged(runs.select("cid").distinct(), "ngram-wanted")
+    wanted = staged(runs.select("cid").distinct(), "ngram-wanted", 64)
     ids = rows.join(wanted, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
     table = spark.sparkContext.broadcast(bloom.table_of(ids.select(F.xxhash64("doc_id"))))
     sets = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(table), "cid long, tokens binary")
     sets = staged(sets.dropDuplicates(["cid"]), "ngram-sets")
 
-    links = link_classes(runs, sets, limit)
-    groups = staged(components(links, "a", "b", "ngram-components").withColumnRenamed("node", "cid"), "ngram-classes")
+    groups = group_classes(runs, sets, limit)
     named = staged(rows.where("cid is not null").join(groups, "cid", "left").select("doc_id", "n", F.coalesce("component", "cid").alias("c")), "ngram-documents")
     names = staged(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "ngram-names")
     out = named.join(names, "c").select("doc_id", "n", "component_id").unionByName(

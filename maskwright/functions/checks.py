@@ -25,4 +25,8 @@ def ssn(s: str) -> str:
     return f"NOT (substring({s}, 1, 3) IN ('000', '666') OR substring({s}, 1, 1) = '9')"
 
 
-CHECKS = {"luhn": luhn, "mod97": mod97, "ssn": ssn}
+def at_sign(s: str) -> str:
+    return f"contains({s}, '@')"
+
+
+CHECKS = {"luhn": luhn, "mod97": mod97, "ssn": ssn, "at_sign": at_sign}

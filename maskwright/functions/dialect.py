@@ -22,6 +22,10 @@ _CONTROL = {"n": r"\n", "t": r"\t", "r": r"\r", "f": r"\f", "v": r"\x0B", "a": r
 _QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
 
 
+# Java's matcher recurses once per repeat of a group, and nested repeats multiply.
+MOST_REPEATS = 200
+
+
 class Unsupported(ValueError):
     """The pattern cannot be given the same meaning on the JVM."""
 
@@ -81,12 +85,50 @@ def _flags(text: str) -> tuple[str, str]:
     return flags, text
 
 
+def _check_repeats(items, classes_too: bool, factor: int = 1) -> None:
+    """Refuse patterns whose groups can repeat more than ``MOST_REPEATS`` times, all enclosing repeats multiplied.
+
+    Python's parser turns alternatives of single characters into a class; ``classes_too`` counts a
+    bounded repeat of a class inside a repeated group as one of a group.
+    """
+    for op, value in items:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            _, most, inner = value
+            plain = len(inner) == 1 and str(inner[0][0]) in ("LITERAL", "NOT_LITERAL", "IN", "ANY", "CATEGORY")
+            if plain and str(inner[0][0]) == "IN" and classes_too and factor > 1 and most < 65535:
+                plain = False
+            times = factor if plain else factor * max(1, int(most))
+            if times > MOST_REPEATS:
+                raise Unsupported("long repeated group recurses in the Java matcher")
+            _check_repeats(inner, classes_too, times)
+        elif name == "POSSESSIVE_REPEAT":
+            _check_repeats(value[2], classes_too, factor)
+        elif name == "SUBPATTERN":
+            _check_repeats(value[3], classes_too, factor)
+        elif name == "BRANCH":
+            for branch in value[1]:
+                _check_repeats(branch, classes_too, factor)
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            _check_repeats(value[1], classes_too, factor)
+        elif name == "ATOMIC_GROUP":
+            _check_repeats(value, classes_too, factor)
+
+
+def _parsed(pattern: str):
+    try:
+        return re._parser.parse(pattern)
+    except AttributeError as exc:  # the parser module moved: be careful and refuse
+        raise Unsupported("no parser to look at repeats with") from exc
+
+
 def java_pattern(pattern: str, lead: str | None = None) -> str:
     """The Java spelling of a Python pattern; raises ``Unsupported`` when there is none.
 
     ``lead`` is a class the match must start with; testing it first lets the matcher leave
     most positions after a single character check.
     """
+    _check_repeats(_parsed(pattern), "|" in pattern)
     flags, text = _flags(pattern)
     out, i, closed_group = [], 0, False
     while i < len(text):
@@ -131,7 +173,7 @@ def java_pattern(pattern: str, lead: str | None = None) -> str:
                 continue
             low, comma, high = m.groups()
             possessive = text[m.end():m.end() + 1] == "+"
-            if after_group and comma and not possessive and (not high or int(high) > 200):
+            if after_group and not possessive and (int(high or low) > MOST_REPEATS or comma and not high):
                 raise Unsupported("long repeated group recurses in the Java matcher")
             out.append("{" + (low or "0") + comma + high + "}")
             i = m.end()

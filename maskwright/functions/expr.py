@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 BLOCK = 128
 
 
@@ -44,3 +46,22 @@ def running(values: str, zero: str, op: str) -> str:
 
 def empty_array(item_type: str) -> str:
     return f"CAST(array() AS ARRAY<{item_type}>)"
+
+
+def valid_utf8(x: str, on_invalid: str = "replace") -> str:
+    """The text as valid UTF-8: invalid bytes become U+FFFD, or fail the job with ``on_invalid="raise"``.
+
+    Offsets, originals and the splice all work on this form, so that they agree.
+    """
+    if on_invalid not in ("replace", "raise"):
+        raise ValueError(f"on_invalid must be 'replace' or 'raise', not {on_invalid!r}")
+    return f"validate_utf8({x})" if on_invalid == "raise" else f"if(is_valid_utf8({x}), {x}, make_valid_utf8({x}))"
+
+
+def free_for(df: DataFrame, *names: str) -> DataFrame:
+    """Fail before any job runs when an output column would replace one of the input."""
+    taken = {c.lower() for c in df.columns}
+    clash = [n for n in names if n.lower() in taken]
+    if clash:
+        raise ValueError(f"the input already has columns named {', '.join(clash)}; rename them first")
+    return df

@@ -50,6 +50,14 @@ def open_rules(x: str, lc: str, rules: list[tuple[int, Rule]]) -> str:
             f" array_remove(array({', '.join(numbers)}), 0))")
 
 
+def gated_text(x: str, rules: list[tuple[int, Rule]]) -> str:
+    """The text, or NULL where no rule's gate opens."""
+    if not all(r.gate for _, r in rules):
+        return x
+    gates = " OR ".join(r.gate.format(x=x, lc=f"({lower_text(x, rules)})") for _, r in rules)
+    return f"if({gates}, {x}, NULL)"
+
+
 def _per_rule(rules: list[tuple[int, Rule]], k: str, call: str) -> str:
     """``call`` with the pattern of rule ``k``; patterns stay constants, so each is compiled once."""
     return f"CASE {k} " + " ".join(

@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.functions.expr import empty_array, ident, let, lit, running
+from maskwright.functions.expr import empty_array, free_for, ident, let, running, valid_utf8
 from maskwright.operators.detect import SPAN_TYPE
 from maskwright.rules import ENTITY_REPLACEMENTS, PRIORITIES, SKIPPED_ENTITIES, Detector
 
-MAX_BROADCAST_TERMS = 100_000
+def _entity_spans(found: Column, text: Column) -> Column:
+    """Entities (entity_type, start, end, score) of a text as spans.
+
+    Known entities get their usual replacement, others their name in brackets; addresses are left to the network rules.
+    """
+    usual = F.create_map(*[F.lit(x) for pair in ENTITY_REPLACEMENTS.items() for x in pair])
+
+    def span(e: Column) -> Column:
+        start, end = e["start"].cast("int"), e["end"].cast("int")
+        return F.struct(
+            start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("original"),
+            F.coalesce(usual[e["entity_type"]], F.concat(F.lit("["), e["entity_type"], F.lit("]"))).alias("replacement"),
+            F.lit("pii").alias("category"), F.lower(e["entity_type"]).alias("label"), e["score"].cast("double").alias("confidence"))
+
+    own = F.filter(found, lambda e: ~e["entity_type"].isin(*SKIPPED_ENTITIES))
+    return F.transform(own, span).cast(f"ARRAY<{SPAN_TYPE}>")
+
+
 def attach_entities(df: DataFrame, key: str, text_col: str, entities: DataFrame,
                     into: str = "external") -> DataFrame:
     """Add a column of spans from an entity table ``(key, entity_type, start, end, score)``.
 
-    Known entities get their usual replacement, others ``[ENTITY]``; the label is the lower-case
-    entity, the category pii. IP addresses are left to the network rules. Entities are reduced to
-    one array per text before the join, so only texts with entities bring anything to match.
+    The label is the lower-case entity, the category pii. Entities are reduced to one array per text; the
+    join then moves the texts too, unless the entities are small enough to be broadcast.
     """
-    known = ", ".join(f"{lit(k)}, {lit(v)}" for k, v in ENTITY_REPLACEMENTS.items())
-    per_text = (
-        entities.where(~F.col("entity_type").isin(*SKIPPED_ENTITIES))
-        .groupBy(key)
-        .agg(F.expr("array_sort(collect_list(struct(start, end, entity_type, score)))").alias("_mw_found"))
-    )
-    spans = f"""CAST(transform(_mw_found, v_f -> named_struct(
-        'start', int(v_f.start), 'end', int(v_f.end),
-        'original', substring({ident(text_col)}, int(v_f.start + 1), int(v_f.end - v_f.start)),
-        'replacement', coalesce(element_at(map({known}), v_f.entity_type), concat('[', v_f.entity_type, ']')),
-        'category', 'pii', 'label', lower(v_f.entity_type),
-        'confidence', double(v_f.score))) AS ARRAY<{SPAN_TYPE}>)"""
-    return (df.join(per_text, key, "left")
-            .withColumn(into, F.expr(f"coalesce({spans}, {empty_array(SPAN_TYPE)})"))
+    per_text = entities.groupBy(key).agg(
+        F.expr("array_sort(collect_list(struct(start, end, entity_type, score)))").alias("_mw_found"))
+    spans = _entity_spans(F.col("_mw_found"), F.expr(valid_utf8(ident(text_col))))
+    return (free_for(df, into).join(per_text, key, "left")
+            .withColumn(into, F.coalesce(spans, F.expr(empty_array(SPAN_TYPE))))
             .drop("_mw_found"))
 
 
@@ -46,8 +54,8 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
 
     ``terms`` has one column. A text becomes one narrow row per word and per term length in words,
     holding the phrase that starts there, and phrases are equi-joined to the terms; no text is
-    shuffled. A list counted at no more than ``MAX_BROADCAST_TERMS`` is broadcast, a longer one is
-    joined by shuffle, where AQE splits frequent phrases. Matching ignores case; a term of several
+    shuffled. Spark broadcasts a list that is below its size threshold and shuffles a larger one, where
+    AQE splits frequent phrases. Matching ignores case; a term of several
     words must be written with the same separators.
     """
     term = F.lower(F.col(terms.columns[0]))
@@ -56,10 +64,8 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
         .where("phrase <> ''").distinct()
         .withColumn("words", F.expr(f"size(regexp_extract_all(phrase, {_WORD}, 0))"))
     )
-    bounds = listed.agg(F.count("*"), F.sort_array(F.collect_set("words"))).first()
-    if bounds[0] <= MAX_BROADCAST_TERMS:
-        listed = F.broadcast(listed)
-    lengths = f"CAST(array({', '.join(str(n) for n in bounds[1])}) AS ARRAY<INT>)"
+    sizes = listed.agg(F.sort_array(F.collect_set("words"))).first()[0]
+    lengths = f"CAST(array({', '.join(map(str, sizes))}) AS ARRAY<INT>)"
 
     ends = running("zip_with(v_w, slice(v_g, 1, size(v_w)), (v_m, v_s) -> length(v_s) + length(v_m))",
                    "0", "v_l + v_r")
@@ -69,9 +75,9 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
         filter({lengths}, v_n -> v_i + v_n <= size(v_w)),
         v_n -> {let('v_ph', phrase, "named_struct('start', get(v_ends, v_i) - length(v_m),"
                     " 'len', length(v_ph), 'phrase', lower(v_ph))")})))"""
-    x = ident(text_col)
-    found = let("v_w", f"regexp_extract_all({x}, {_WORD}, 0)", let(
-        "v_g", f"split({x}, {_WORD}, -1)", let("v_ends", ends, rows)))
+    x = "v_text"
+    found = let("v_text", valid_utf8(ident(text_col)), let("v_w", f"regexp_extract_all({x}, {_WORD}, 0)", let(
+        "v_g", f"split({x}, {_WORD}, -1)", let("v_ends", ends, rows))))
     return (
         df.where(F.col(text_col).isNotNull()).select(key, F.expr(f"inline({found})"))
         .join(listed, "phrase")
@@ -80,34 +86,33 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
     )
 
 
-def analyzer(factory: Callable[[], object], language: str = "en") -> Detector:
+_ENTITY_TYPE = "STRUCT<entity_type: STRING, start: INT, end: INT, score: DOUBLE>"
+
+
+def analyzer(factory: Callable[[], object], language: str = "en", on_error: str = "skip") -> Detector:
     """A detector around a text analyzer object with ``analyze(text=..., language=...)``.
 
-    The factory runs once per Python worker. When it cannot be imported, or a text fails, there are
-    no spans, and detection by rules goes on.
+    The worker only asks the analyzer, made once per Python worker; what its entities mean is decided by
+    the expression that also reads entity tables. With ``on_error="skip"`` a text that the analyzer
+    cannot handle, or an analyzer that cannot be imported, gives no entities; ``"raise"`` fails the job.
     """
-    @F.pandas_udf(f"ARRAY<{SPAN_TYPE}>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
+    if on_error not in ("skip", "raise"):
+        raise ValueError(f"on_error must be 'skip' or 'raise', not {on_error!r}")
+
+    @F.pandas_udf(f"ARRAY<{_ENTITY_TYPE}>")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        engine, tolerated = None, Exception if on_error == "skip" else ()
+        with contextlib.suppress(ImportError if on_error == "skip" else ()):
             engine = factory()
-        except ImportError:
-            engine = None
-
-        def one(text):
-            if engine is None or not text:
-                return []
-            try:
-                results = engine.analyze(text=text, language=language)
-            except Exception:
-                return []
-            return [
-                {"start": r.start, "end": r.end, "original": text[r.start:r.end],
-                 "replacement": ENTITY_REPLACEMENTS.get(r.entity_type, f"[{r.entity_type}]"),
-                 "category": "pii", "label": r.entity_type.lower(), "confidence": float(r.score)}
-                for r in results if r.entity_type not in SKIPPED_ENTITIES
-            ]
-
-        for texts in batches:
-            yield texts.map(one)
-
-    return Detector("pii", find, PRIORITIES["pii"])
+
+        def entities(text: str) -> list[dict]:
+            found = []
+            if text and engine:
+                with contextlib.suppress(tolerated):
+                    found = [dict(entity_type=e.entity_type, start=e.start, end=e.end, score=e.score)
+                             for e in engine.analyze(text=text, language=language)]
+            return found
+
+        yield from (texts.map(entities, na_action="ignore") for texts in batches)
+
+    return Detector("pii", lambda text: _entity_spans(ask(text), text), PRIORITIES["pii"])

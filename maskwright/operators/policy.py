@@ -4,37 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.functions.expr import lit
+from maskwright.functions.expr import free_for, lit
+from maskwright.operators.detect import rule_plan
 from maskwright.operators.report import findings
 from maskwright.operators.redact import apply_replacements
 from maskwright.operators.resolve import resolved_spans
 from maskwright.plans.sanitize import Rules, computed_once, with_candidates
-from maskwright.rules import ALWAYS_ON, PROFILES
-
-MAX_POLICIES = 100_000
-
+from maskwright.rules import ALWAYS_ON, PROFILES, RuleSet
 
 def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies: DataFrame,
                        rules: Rules = None) -> DataFrame:
     """Mask each row by its source's policy ``(source, profile, min_confidence)``.
 
-    All rules run once; a policy then keeps the categories of its profile (NULL profile: all) above
-    its threshold, before overlap resolution. Sources without a policy get every rule. The policy
-    table is broadcast when counting shows it small.
+    A policy allows the categories of its profile (NULL profile: all) above its threshold; other rules
+    do not run on the row. Sources without a policy get every rule. Two policies for one source are an
+    error.
     """
-    named = policies.select(F.col("source").alias(source_col), F.lower("profile").alias("_mw_profile"),
+    twice = [r[0] for r in policies.groupBy("source").count().where("count > 1").limit(5).collect()]
+    if twice:
+        raise ValueError(f"more than one policy for {', '.join(map(str, twice))}")
+    free_for(df, "spans", "clean_text")
+    named = policies.select(F.col("source").alias("_mw_source"), F.lower("profile").alias("_mw_profile"),
                             F.col("min_confidence").alias("_mw_floor"))
-    if named.limit(MAX_POLICIES + 1).count() <= MAX_POLICIES:
-        named = F.broadcast(named)
     allowed = ", ".join(f"{lit(p)}, array({', '.join(lit(c) for c in (*cs, *ALWAYS_ON))})"
                         for p, cs in PROFILES.items())
-    keep = f"""filter(_mw_candidates, v_c ->
-        -v_c.nc >= coalesce(_mw_floor, 0.0D)
-        AND (_mw_profile IS NULL OR array_contains(
+
+    def permits(confidence: str, category: str) -> str:
+        return f"""({confidence} >= coalesce(_mw_floor, 0.0D) AND (_mw_profile IS NULL OR array_contains(
             coalesce(element_at(map({allowed}), _mw_profile), array(raise_error(
-                concat('Unknown profile: ', _mw_profile)))), v_c.cat)))"""
-    joined = with_candidates(df, text_col, rules, into="_mw_candidates").join(named, source_col, "left")
-    return (computed_once(joined, "spans", resolved_spans(keep))
+                concat('Unknown profile: ', _mw_profile)))), {category})))"""
+
+    jvm, _, _ = rule_plan(RuleSet.of(rules))
+    table = ", ".join(f"named_struct('k', {k}, 'conf', {float(r.confidence)!r}D, 'cat', {lit(r.category)})"
+                      for k, (_, r) in enumerate(jvm, 1))
+    open_to = f"transform(filter(array({table}), v_r -> {permits('v_r.conf', 'v_r.cat')}), v_r -> v_r.k)" if jvm else None
+    joined = df.join(named, F.col(source_col) == F.col("_mw_source"), "left").drop("_mw_source")
+    found = with_candidates(joined, text_col, rules, into="_mw_candidates", allowed=open_to)
+    keep = f"filter(_mw_candidates, v_c -> {permits('-v_c.nc', 'v_c.cat')})"
+    return (computed_once(found, "spans", resolved_spans(keep))
             .drop("_mw_candidates", "_mw_profile", "_mw_floor")
             .withColumn("clean_text", apply_replacements(text_col)))
 

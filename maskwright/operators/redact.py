@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.functions.expr import ident, let, running
+from maskwright.functions.expr import ident, let, running, valid_utf8
 
 _BLOCK = 64
 
@@ -52,7 +52,7 @@ def spliced(text: str, spans: str, style: str = "label") -> str:
 
 
 def apply_replacements(text_col: str, spans_col: str = "spans", style: str = "label") -> Column:
-    return F.expr(spliced(ident(text_col), ident(spans_col), style))
+    return F.expr(let("v_text", valid_utf8(ident(text_col)), spliced("v_text", ident(spans_col), style)))
 
 
 def line_changes(df: DataFrame, keys: list[str], text_col: str, spans_col: str = "spans") -> DataFrame:
@@ -64,7 +64,7 @@ def line_changes(df: DataFrame, keys: list[str], text_col: str, spans_col: str =
     def newlines(s: str) -> str:
         return f"(length({s}) - length(replace({s}, '\\n', '')))"
 
-    x = ident(text_col)
+    x = "v_text"
     advance = f"""transform(v_gp, (v_g, v_i) -> {newlines('v_g')}
         + if(v_i = 0, 0, {newlines('get(v_sp, v_i - 1).original')}))"""
     heads = """filter(sequence(0, size(v_sp) - 1),
@@ -79,6 +79,6 @@ def line_changes(df: DataFrame, keys: list[str], text_col: str, spans_col: str =
     rows = f"""transform(v_heads, (v_h, v_n) -> {let(
         'v_next', 'coalesce(get(v_heads, v_n + 1), size(v_sp))',
         f"named_struct('line_no', get(v_line, v_h) + 1, 'before', {side('original')}, 'after', {side('replacement')})")})"""
-    units = let("v_in", ident(spans_col), let("v_sp", _WRITE_ORDER, let("v_gp", _gaps(x), let(
-        "v_tail", _tail(x), let("v_line", running(advance, "0", "v_l + v_r"), let("v_heads", heads, rows))))))
+    units = let("v_text", valid_utf8(ident(text_col)), let("v_in", ident(spans_col), let("v_sp", _WRITE_ORDER, let("v_gp", _gaps(x), let(
+        "v_tail", _tail(x), let("v_line", running(advance, "0", "v_l + v_r"), let("v_heads", heads, rows)))))))
     return df.where(F.expr(f"size({ident(spans_col)}) > 0")).select(*keys, F.expr(f"inline({units})"))

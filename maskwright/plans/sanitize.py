@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskwright.functions.expr import empty_array, ident
+from maskwright.functions.expr import empty_array, free_for, ident, let, valid_utf8
 from maskwright.operators import detect
 from maskwright.operators.redact import apply_replacements, spliced
 from maskwright.operators.report import report
@@ -22,28 +22,34 @@ def computed_once(df: DataFrame, name: str, sql: str) -> DataFrame:
     A filter on a projected column is pushed down by copying the column's expression. A generator's
     output is never copied, while filters on other columns still move below it.
     """
-    return df.drop(name).select("*", F.explode(F.array(F.expr(sql))).alias(name))
+    return free_for(df, name).select("*", F.explode(F.array(F.expr(sql))).alias(name))
 
 
-def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
-              external: str | None) -> tuple[DataFrame, str, list[str]]:
-    """The inputs of the candidate expression as helper columns, the expression, and their names."""
+def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float, external: str | None,
+              on_invalid: str = "replace", allowed: str | None = None) -> tuple[DataFrame, str, list[str]]:
+    """The inputs of the candidate expression as helper columns, the expression, and their names.
+
+    ``allowed`` is an expression for the numbers of the JVM rules that may run on a row.
+    """
     ruleset = RuleSet.of(rules)
     jvm, python, detectors = detect.rule_plan(ruleset, min_confidence)
-    x, parts, dynamic, extra = ident(text_col), [], [], []
+    df = df.withColumn("_mw_text", F.expr(valid_utf8(ident(text_col), on_invalid)))
+    x, parts, dynamic, extra = "_mw_text", [], [], ["_mw_text"]
     if jvm:
         # Gates come first, in generated code; a text that passes none stops there.
+        gated = detect.open_rules(x, "_mw_lower", jvm)
         df = (df.withColumn("_mw_lower", F.expr(detect.lower_text(x, jvm)))
-              .withColumn("_mw_open", F.expr(detect.open_rules(x, "_mw_lower", jvm))))
+              .withColumn("_mw_open", F.expr(f"array_intersect({gated}, {allowed})" if allowed else gated)))
         parts.append(detect.rule_candidates(x, "_mw_open", jvm))
         extra += ["_mw_lower", "_mw_open"]
     if python:
-        df = df.withColumn("_mw_python", detect.python_candidates(python)(F.col(text_col)))
+        # a text that opens no gate is not sent
+        df = df.withColumn("_mw_python", detect.python_candidates(python)(F.expr(detect.gated_text(x, python))))
         parts.append("_mw_python")
         extra.append("_mw_python")
     for ord_, d in detectors:
         name = f"_mw_detector_{ord_}"
-        df = df.withColumn(name, d.column(F.col(text_col)))
+        df = df.withColumn(name, d.column(F.col(x)))
         dynamic.append(detect.span_to_candidate(f"coalesce({name}, {empty_array(detect.SPAN_TYPE)})",
                                                 ord_, d.category))
         extra.append(name)
@@ -60,30 +66,34 @@ def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
 
 
 def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
-                    external: str | None = None, into: str = "candidates") -> DataFrame:
+                    external: str | None = None, into: str = "candidates", on_invalid: str = "replace",
+                    allowed: str | None = None) -> DataFrame:
     """Add every detected span, before overlap resolution.
 
     ``external`` names an ARRAY<span> column with findings made elsewhere; they rank after all rules.
     """
-    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external)
+    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external, on_invalid, allowed)
     return computed_once(df, into, candidates).drop(*extra)
 
 
 def with_spans(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
-               external: str | None = None, into: str = "spans") -> DataFrame:
-    """Add the kept spans of each text as ``ARRAY<span>``."""
-    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external)
+               external: str | None = None, into: str = "spans", on_invalid: str = "replace") -> DataFrame:
+    """Add the kept spans of each text as ``ARRAY<span>``; offsets count code points of its valid form."""
+    df, candidates, extra = _prepared(df, text_col, rules, min_confidence, external, on_invalid)
     return computed_once(df, into, resolved_spans(candidates)).drop(*extra)
 
 
 def sanitize(df: DataFrame, text_col: str = "text", rules: Rules = None, min_confidence: float = 0.0,
-             external: str | None = None, style: str = "label", dry_run: bool = False) -> DataFrame:
+             external: str | None = None, style: str = "label", dry_run: bool = False,
+             on_invalid: str = "replace") -> DataFrame:
     """Add ``spans``, ``clean_text`` and ``report`` to every row, in one stage without a shuffle.
 
     Unused outputs cost nothing: Catalyst drops the splice or the report when not selected. With
-    ``dry_run`` the clean text is the input.
+    ``dry_run`` the clean text is the input. Bytes that are no UTF-8 become U+FFFD in the clean text,
+    or fail the job with ``on_invalid="raise"``. Input columns with these names are an error.
     """
-    out = with_spans(df, text_col, rules, min_confidence, external)
+    out = with_spans(free_for(df, "spans", "clean_text", "report"), text_col, rules, min_confidence, external,
+                     on_invalid=on_invalid)
     clean = F.col(text_col) if dry_run else apply_replacements(text_col, "spans", style)
     return out.withColumn("clean_text", clean).withColumn("report", report("spans"))
 
@@ -105,7 +115,7 @@ def raw_findings(df: DataFrame, keys: Sequence[str], text_col: str, rules: Rules
 
 
 def register_sql(spark: SparkSession, rules: Rules = None, min_confidence: float = 0.0,
-                 name: str = "mask") -> None:
+                 name: str = "mask_text") -> None:
     """Create the temporary SQL functions ``<name>(text)`` and ``<name>_spans(text)``.
 
     They are SQL functions over built-in expressions, so queries using them stay on the JVM.
@@ -113,9 +123,9 @@ def register_sql(spark: SparkSession, rules: Rules = None, min_confidence: float
     jvm, python, detectors = detect.rule_plan(RuleSet.of(rules), min_confidence)
     if python or detectors:
         raise ValueError("SQL functions take pattern rules that run on the JVM")
-    spans = resolved_spans(detect.inline_candidates("x", jvm))
+    spans = let("v_x", valid_utf8("x"), resolved_spans(detect.inline_candidates("v_x", jvm)))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_spans(x STRING)"
               f" RETURNS ARRAY<{detect.SPAN_TYPE}> RETURN {spans}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS STRING"
-              f" RETURN {spliced('x', f'{name}_spans(x)')}")
+              f" RETURN {spliced(valid_utf8('x'), f'{name}_spans(x)')}")
 

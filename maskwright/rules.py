@@ -8,7 +8,7 @@ Spark expressions built from them (see ``operators.detect``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from maskwright.functions.dialect import java_pattern, runs_on_jvm
 
@@ -87,12 +87,6 @@ class RuleSet:
         """Stable order by priority; this is the last tie-break of overlap resolution."""
         return sorted(self.rules, key=lambda r: r.priority)
 
-    def at_least(self, min_confidence: float) -> RuleSet:
-        """Push a threshold into the rules: a rule's confidence is the confidence of all its spans."""
-        if min_confidence <= 0.0:
-            return self
-        return replace(self, rules=tuple(r for r in self.rules if r.confidence >= min_confidence))
-
 
 # --------------------------------------------------------------------------- gates
 def _has(*words: str) -> str:
@@ -221,7 +215,7 @@ PII = (
 _W = r"[\p{L}\p{N}_]"
 
 _GATES = {
-    "private_key": _has("PRIVATE KEY-----"),
+    "private_key": f"({_has('PRIVATE KEY-----')} AND {_has('-----END ')})",
     "jwt": _has("eyJ"),
     "bearer_token": _has_ci("bearer"),
     "api_key": f"({_PAIR} AND {_has_ci('key', 'token')})",
@@ -277,7 +271,13 @@ _JVM = {
         r"(?::\p{Nd}{1,5})?(?:/[^\p{IsWhite_Space}\x1c-\x1f\"']*+)?",
 }
 
-_CHECKS = {"credit_card": "luhn", "iban_code": "mod97", "us_ssn": "ssn"}
+# An address is looked for from every word start, and a long run of its characters has many. So a long run that no domain
+# follows is matched as a whole, from its beginning, and dropped by the check: the search then takes linear time.
+_LOCAL = "[a-z0-9._%+-]"
+_JVM["email_address"] = (java_pattern(dict((label, p) for label, p, *_ in PII)["email_address"])
+                         + rf"|(?<!{_LOCAL}){_LOCAL}{{256,}}+(?!@[a-z0-9.-]++(?<=\.[a-z]{{2,63}}))")
+
+_CHECKS = {"credit_card": "luhn", "iban_code": "mod97", "us_ssn": "ssn", "email_address": "at_sign"}
 
 
 def _group(category: str, rows) -> list[Rule]:

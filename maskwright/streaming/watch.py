@@ -7,13 +7,13 @@ not processed again; after an unchanged or empty text the memory is that text.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from maskwright.functions.expr import free_for, ident, valid_utf8
 from maskwright.operators.redact import apply_replacements
 from maskwright.plans.sanitize import Rules, with_spans
 
@@ -26,20 +26,22 @@ def watched(df: DataFrame, settings: DataFrame, key: str) -> DataFrame:
 
 
 def _masked(df: DataFrame, text_col: str, rules: Rules) -> DataFrame:
-    """Add clean_text and total_matches; a missing text counts as an empty one."""
-    texts = df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    return (with_spans(texts, text_col, rules)
-            .withColumn("clean_text", apply_replacements(text_col))
-            .withColumn("total_matches", F.expr("bigint(size(spans))")).drop("spans"))
+    """Add _now (the text as valid UTF-8; a missing one counts as empty), clean_text and total_matches."""
+    texts = free_for(df, "clean_text", "total_matches").withColumn(
+        "_now", F.coalesce(F.expr(valid_utf8(ident(text_col))), F.lit("")))
+    return (with_spans(texts, "_now", rules, into="_spans")
+            .withColumn("clean_text", apply_replacements("_now", "_spans"))
+            .withColumn("total_matches", F.expr("bigint(size(_spans))")).drop("_spans"))
 
 
 # ------------------------------------------------------------------ streaming
 def watch_stream(df: DataFrame, key: str, seq: str, text_col: str, rules: Rules = None) -> DataFrame:
     """The texts a stream had to mask: (key, seq, text, clean_text, total_matches).
 
-    Masking is a stateless projection on the JVM. Only texts that may change something travel to
-    the stateful step, which keeps one string per session; within a micro-batch a session's events
-    are taken in ``seq`` order. Bound a micro-batch with the source's rate options.
+    Masking is a stateless projection on the JVM. All events travel to the stateful step, since each may
+    be the memory of the next one; it keeps one string per session. Within a micro-batch a session's
+    events are held by one task and taken in ``seq`` order, equal ones in order of arrival. Bound a
+    micro-batch with the source's rate options.
     """
     types = dict(df.dtypes)
     out_schema = (f"`{key}` {types[key]}, `{seq}` {types[seq]}, `{text_col}` STRING, clean_text STRING,"
@@ -49,14 +51,14 @@ def watch_stream(df: DataFrame, key: str, seq: str, text_col: str, rules: Rules
         (last,) = state.get if state.exists else ("",)
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
         changed = []
-        for text, clean in zip(rows[text_col], rows["clean_text"]):
+        for text, clean in zip(rows["_now"], rows["clean_text"]):
             new = bool(text) and text != last
             changed.append(new and clean != text)
             last = clean if new else text
         state.update((last,))
-        yield rows[changed][[key, seq, text_col, "clean_text", "total_matches"]]
+        yield rows[changed][[key, seq, "_now", "clean_text", "total_matches"]].rename(columns={"_now": text_col})
 
-    masked = _masked(df, text_col, rules).select(key, seq, text_col, "clean_text", "total_matches")
+    masked = _masked(df, text_col, rules).select(key, seq, "_now", "clean_text", "total_matches")
     return masked.groupBy(key).applyInPandasWithState(step, out_schema, "last STRING", "append", "NoTimeout")
 
 
@@ -70,7 +72,7 @@ def start_watch(stream: DataFrame, path: str, checkpoint: str, available_now: bo
 
 def on_demand(df: DataFrame, text_col: str, rules: Rules = None) -> DataFrame:
     """Mask whatever text is there, clean or not, changed or not; empty texts give nothing."""
-    return _masked(df.where(F.col(text_col) != ""), text_col, rules)
+    return _masked(df.where(F.col(text_col) != ""), text_col, rules).drop("_now")
 
 
 # ------------------------------------------------------------------ batch
@@ -83,28 +85,40 @@ def watch_table(df: DataFrame, key: str, seq: str, text_col: str, rules: Rules =
     bit to its own: to a constant, to itself, or to its opposite. The flag is the last constant
     before it, flipped once per opposite since: running window functions instead of a loop.
 
+    Texts are compared by hashes, and the windows carry those. Two events of a session with one ``seq``
+    are an error, as their order would be left to chance; give the arrival order in ``seq``.
+
     A numeric ``seq`` can be cut into buckets of ``bucket_width``: windows then run per (session,
     bucket), each bucket is summed up in one row, and only those rows are scanned per session. No
-    session, however hot, passes through one task. The masked events are used twice there, so they
-    are checkpointed to the session's checkpoint folder instead of being masked again.
+    session, however hot, passes through one task, and the result is the same for any width. Without a
+    width a session passes through one task. The masking is done twice then, once for hashes only.
     """
-    events = _masked(df, text_col, rules)
+    events = (_masked(df, text_col, rules).withColumn("_h", F.unhex(F.md5("_now")))
+              .withColumn("_hc", F.unhex(F.md5("clean_text"))).withColumn("_some", F.col("_now") != ""))
     if bucket_width is None:
         order = Window.partitionBy(key).orderBy(seq)
-        bits = _bits(events, F.lag(text_col).over(order), F.lag("clean_text").over(order), F.col(text_col))
+        bits = _bits(_in_order(events, order, seq), F.lag("_h").over(order), F.lag("_hc").over(order))
         flagged = _follow(bits, order).withColumn("processed", F.col("_if_off"))
     else:
-        flagged = _by_bucket(_checkpointed(events), key, seq, text_col, bucket_width)
-    return (flagged.withColumn("masked", F.col("processed") & (F.col("clean_text") != F.col(text_col)))
+        flagged = _by_bucket(events, key, seq, bucket_width)
+    return (flagged.withColumn("masked", F.col("processed") & (F.col("clean_text") != F.col("_now")))
             .select(*df.columns, "clean_text", "total_matches", "processed", "masked"))
 
 
-def _bits(events: DataFrame, before, before_clean, now) -> DataFrame:
+def _in_order(events: DataFrame, order, seq: str) -> DataFrame:
+    """Fail where two events of a session have one place."""
+    tied = F.lag(seq).over(order).eqNullSafe(F.col(seq)) & (F.row_number().over(order) > 1)
+    return events.withColumn("_some", F.when(tied, F.raise_error(F.concat(
+        F.lit("two events of one session at "), F.col(seq).cast("string"))).cast("boolean")).otherwise(F.col("_some")))
+
+
+def _bits(events: DataFrame, before, before_clean) -> DataFrame:
     """``_on``/``_off``: is the event processed if the one before was / was not?"""
-    return (events.withColumn("_before", F.coalesce(before, F.lit("")))
-            .withColumn("_before_clean", F.coalesce(before_clean, F.lit("")))
-            .withColumn("_on", (now != "") & (now != F.col("_before_clean")))
-            .withColumn("_off", (now != "") & (now != F.col("_before")))
+    nothing = F.unhex(F.md5(F.lit("")))
+    return (events.withColumn("_before", F.coalesce(before, nothing))
+            .withColumn("_before_clean", F.coalesce(before_clean, nothing))
+            .withColumn("_on", F.col("_some") & (F.col("_h") != F.col("_before_clean")))
+            .withColumn("_off", F.col("_some") & (F.col("_h") != F.col("_before")))
             .drop("_before", "_before_clean"))
 
 
@@ -121,23 +135,22 @@ def _follow(bits: DataFrame, order) -> DataFrame:
             .drop("_on", "_off", "_flips", "_anchor"))
 
 
-def _by_bucket(events: DataFrame, key: str, seq: str, text_col: str, width: int) -> DataFrame:
+def _by_bucket(events: DataFrame, key: str, seq: str, width: int) -> DataFrame:
     # Within a bucket: follow the flags from the bucket's first event, whose own flag is open.
     order = Window.partitionBy(key, "_bucket").orderBy(seq)
     first = F.row_number().over(order) == 1
-    local = _bits(events.withColumn("_bucket", F.floor(F.col(seq) / width)),
-                  F.lag(text_col).over(order), F.lag("clean_text").over(order), F.col(text_col))
+    bucketed = _in_order(events.withColumn("_bucket", F.floor(F.col(seq) / width)), order, seq)
+    local = _bits(bucketed, F.lag("_h").over(order), F.lag("_hc").over(order))
     local = _follow(local.withColumn("_first", first)
                     .withColumn("_on", F.col("_on") | F.col("_first"))
                     .withColumn("_off", F.col("_off") & ~F.col("_first")), order)
 
     # One row per bucket: its first text, its last event, and the flag of its last event.
     buckets = local.groupBy(key, "_bucket").agg(
-        F.min_by(text_col, seq).alias("_head"),
-        F.max_by(F.struct(text_col, "clean_text", "_if_on", "_if_off"), seq).alias("_tail"))
+        F.min_by(F.struct("_h", "_some"), seq).alias("_head"),
+        F.max_by(F.struct("_h", "_hc", "_if_on", "_if_off"), seq).alias("_tail")).select(key, "_bucket", "_head.*", "_tail")
     chain = Window.partitionBy(key).orderBy("_bucket")
-    entry = _bits(buckets, F.lag(f"_tail.{text_col}").over(chain), F.lag("_tail.clean_text").over(chain),
-                  F.col("_head"))
+    entry = _bits(buckets, F.lag("_tail._h").over(chain), F.lag("_tail._hc").over(chain))
 
     def through(bit: str):  # the bucket as one event: entry flag, then its inner flags
         return F.when(F.col(bit), F.col("_tail._if_on")).otherwise(F.col("_tail._if_off"))
@@ -151,12 +164,3 @@ def _by_bucket(events: DataFrame, key: str, seq: str, text_col: str, width: int)
 
     return (local.join(opened, [key, "_bucket"])
             .withColumn("processed", F.when(F.col("_opens"), F.col("_if_on")).otherwise(F.col("_if_off"))))
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="watch-"))
-    return df.checkpoint()

@@ -28,6 +28,7 @@ def _mod97(txt: str) -> str:
 
 
 _CHECK = {
+    "at_sign": lambda txt: "true",
     "luhn": _luhn,
     "mod97": _mod97,
     "ssn": lambda txt: f"NOT regexp_matches({txt}, '^(000|666|9)')",

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 import re
-import tempfile
 from collections.abc import Callable
 from pathlib import Path
 from types import SimpleNamespace
@@ -14,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import maskwright as mw
 from maskwright.operators import external, policy, redact, report
 from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile
-from maskwright.sources.patterns import rules_from_entries
+from maskwright.sources.patterns import read_patterns
+from maskwright.sources.scratch import shared_folder
 from maskwright.sources.text import spread
 from maskwright.streaming import watch
 from suite import oracle, texts
@@ -22,7 +21,7 @@ from suite import oracle, texts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-PATTERN_FILE = str(Path(__file__).with_name("patterns.json"))
+PATTERN_FILE = str(Path(__file__).resolve().with_name("patterns.json"))
 RULES = default_rules()
 BY_LABEL = {r.label: r for r in RULES}
 
@@ -152,7 +151,7 @@ CUSTOM = [Rule("custom", "order_ref", r"order \d+", "[ORDER]", 0.75, 10), Rule("
     select="SELECT id, clean_text, n AS total_matches FROM clean"))
 def custom_rules(spark, sf_dir):
     """User rules from a pattern file, next to the built-in ones."""
-    rules = default_rules(rules_from_entries(json.loads(Path(PATTERN_FILE).read_text())))
+    rules = default_rules(read_patterns(spark, f"file://{PATTERN_FILE}"))
     return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text", rules).select(
         "id", "clean_text", "report.total_matches")
 
@@ -165,6 +164,23 @@ def custom_rules_python_engine(spark, sf_dir):
     return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text", [rule]).select("id", "clean_text")
 
 
+@query("custom_rules_long_repeats", "SELECT doc_id AS id, '[X]' || repeat('bc', CAST(500 + doc_id % 3 AS BIGINT)) || doc_id AS clean_text FROM documents")
+def custom_rules_long_repeats(spark, sf_dir):
+    """A repeated group that would overflow the Java matcher."""
+    docs = spread(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").alias("id"), F.expr("concat(repeat('bc', int(9500 + doc_id % 3)), doc_id)").alias("text"))
+    return mw.sanitize(docs, "text", [Rule("custom", "long", "(?:a|bc){9000}", "[X]", 1.0, 10)]).select("id", "clean_text")
+
+
+@query("sanitize_invalid_utf8", "SELECT doc_id AS id, repeat(chr(65533) || 'ab ', 20) || doc_id || ' [REDACTED] and a tail that stays' || chr(65533) AS clean_text FROM documents")
+def sanitize_invalid_utf8(spark, sf_dir):
+    """Truncated characters before a secret do not move the mask."""
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.expr("""concat(
+        repeat(concat(CAST(unhex('E2') AS STRING), 'ab '), 20), doc_id, ' password=hunter2secret and a tail that stays',
+        CAST(unhex('F09F98') AS STRING))""").alias("text"))
+    return mw.sanitize(docs).select("id", "clean_text")
+
+
 @query("replacement_is_literal", f"SELECT id, replace(text, 'order ', '$1\\0{{x}} ') AS clean_text FROM ({texts.ORDER_LOG})")
 def replacement_is_literal(spark, sf_dir):
     return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text",
@@ -416,7 +432,7 @@ def change_detection(spark, sf_dir):
 def masked_events(spark, sf_dir):
     """Only what has to be written back."""
     events = source(spark, sf_dir, texts.EVENT_TEXTS)
-    return watch.watch_table(events, "session", "seq", "text", _EVENT_RULES).where("masked").select(
+    return watch.watch_table(events, "session", "seq", "text", _EVENT_RULES, bucket_width=1000).where("masked").select(
         "session", "seq", "text", "clean_text")
 
 
@@ -425,7 +441,7 @@ def watched_sessions(spark, sf_dir):
     """Watch mode is on for some sessions only, by a settings table."""
     events = source(spark, sf_dir, texts.EVENT_TEXTS)
     settings = events.select("session").distinct().withColumn("watch_mode", F.col("session") % 2 == 0)
-    out = watch.watch_table(watch.watched(events, settings, "session"), "session", "seq", "text", _EVENT_RULES)
+    out = watch.watch_table(watch.watched(events, settings, "session"), "session", "seq", "text", _EVENT_RULES, bucket_width=1000)
     return out.where("masked").select("session", "seq", "clean_text")
 
 
@@ -434,14 +450,6 @@ def on_demand(spark, sf_dir):
     return watch.on_demand(source(spark, sf_dir, texts.EVENT_TEXTS), "text", _EVENT_RULES).select("session", "seq", "clean_text")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder all executors see: under the cluster's checkpoint folder, a local one only in local mode."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
-    return tempfile.mkdtemp(prefix="stream-")
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -451,7 +459,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_sanitize", f"{_LOOP} SELECT session, seq, text, clean_text FROM done WHERE masked")
 def stream_sanitize(spark, sf_dir):
     """The event table as a stream through the stateful watcher into files."""
-    out = _scratch(spark)
+    out = shared_folder(spark, "stream")
     stream = watch.watch_stream(_event_stream(spark, sf_dir), "session", "seq", "text", _EVENT_RULES)
     watch.start_watch(stream, f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/data").select("session", "seq", "text", "clean_text")
@@ -459,7 +467,7 @@ def stream_sanitize(spark, sf_dir):
 
 @query("stream_stateless", f"SELECT session, seq, {_CLEAN_EVENT} AS clean_text FROM ({texts.EVENT_TEXTS})")
 def stream_stateless(spark, sf_dir):
-    out = _scratch(spark)
+    out = shared_folder(spark, "stream")
     stream = mw.sanitize(_event_stream(spark, sf_dir), "text", _EVENT_RULES).select("session", "seq", "clean_text")
     watch.start_watch(stream, f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/data").select("session", "seq", "clean_text")

@@ -18,7 +18,7 @@ def _ssn(s):
     return s[:3] not in ("000", "666") and s[0] != "9"
 
 
-CHECKS = {"luhn": _luhn, "mod97": _mod97, "ssn": _ssn, None: lambda s: True}
+CHECKS = {"at_sign": lambda s: True, "luhn": _luhn, "mod97": _mod97, "ssn": _ssn, None: lambda s: True}
 
 
 def candidates(text, rules: list[Rule], min_confidence=0.0):
@@ -32,17 +32,31 @@ def candidates(text, rules: list[Rule], min_confidence=0.0):
 
 
 def resolve(found):
-    kept = []
-    for c in sorted(found, key=lambda c: (-c[6], c[0], c[0] - c[1])):
-        if not any(c[0] < k[1] and k[0] < c[1] for k in kept):
-            kept.append(c)
-    return sorted(kept, key=lambda c: c[0])
+    """Best first (surest, earliest, longest, first found); a span is kept if all its places are still free.
+
+    An empty span has no places; it is kept unless it lies strictly inside a kept one.
+    """
+    taken, kept = set(), []
+    for rank in sorted(range(len(found)), key=lambda i: (-found[i][6], found[i][0], -found[i][1] + found[i][0], i)):
+        start, end = found[rank][:2]
+        places = set(range(start, end))
+        inside = start == end and any(k[0] < start < k[1] for k in kept)
+        around = any(k[0] == k[1] and start < k[0] < end for k in kept)
+        if taken.isdisjoint(places) and not inside and not around:
+            taken |= places
+            kept.append(found[rank])
+    kept.sort(key=lambda span: span[0])
+    return kept
 
 
 def splice(text, spans):
-    for start, end, _, replacement, *_ in sorted(spans, key=lambda s: s[0], reverse=True):
-        text = text[:start] + replacement + text[end:]
-    return text
+    """Left to right: what stays, then what is written. Of spans with one start the empty ones come first, the last ranked first."""
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][0], spans[i][1], -i))
+    pieces, at = [], 0
+    for i in order:
+        pieces += [text[at : spans[i][0]], spans[i][3]]
+        at = spans[i][1]
+    return "".join(pieces) + text[at:]
 
 
 def sanitize(text, rules, min_confidence=0.0):

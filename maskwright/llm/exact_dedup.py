@@ -13,102 +13,11 @@ that repeat the same id and text are one document: all of them are marked as kep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from maskwright.llm import bloom
 from maskwright.llm.common import free_name, staged, text_or_empty
 
-#: Positions of one row: one in each half of the table, so that a row never meets itself.
-SEGMENT_BITS = 20
-FLUSH_ROWS = 500_000
-
-
-def _positions(h: np.ndarray, log2_bits: int) -> np.ndarray:
-    """Two positions of each 64-bit hash, one in each half of a table of 2**log2_bits bits."""
-    half = np.uint64(1 << (log2_bits - 1))
-    u = h.astype(np.int64).view(np.uint64)
-    return np.concatenate([u % half, half + ((u >> np.uint64(32)) ^ (u * np.uint64(0x9E3779B97F4A7C15))) % half])
-
-
-def _partial(log2_bits: int):
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Positions of some rows: those hit once here, and those hit more often."""
-        def flush(held):
-            at, n = np.unique(_positions(np.concatenate(held), log2_bits), return_counts=True)
-            segment = (at >> np.uint64(SEGMENT_BITS)).astype(np.int32)
-            offset = (at & np.uint64((1 << SEGMENT_BITS) - 1)).astype("<u4")
-            cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-            ends = np.append(cuts[1:], len(at))
-            return pa.RecordBatch.from_arrays([
-                pa.array(segment[cuts], pa.int32()),
-                pa.array([offset[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                pa.array([offset[a:b][n[a:b] > 1].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-            ], names=["segment", "hit", "hit_again"])
-        held, rows = [], 0
-        for b in frames:
-            held.append(b.column(0).to_numpy(zero_copy_only=False))
-            rows += b.num_rows
-            if rows >= FLUSH_ROWS:
-                yield flush(held)
-                held, rows = [], 0
-        if rows:
-            yield flush(held)
-    return run
-
-
-def _merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bit tables of the segments that fell to this task: positions hit by two rows or more."""
-    once: dict[int, np.ndarray] = {}
-    again: dict[int, np.ndarray] = {}
-    for b in frames:
-        for segment, hit, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if segment not in once:
-                once[segment] = np.zeros(1 << SEGMENT_BITS, bool)
-                again[segment] = np.zeros(1 << SEGMENT_BITS, bool)
-            at, twice = np.frombuffer(hit, "<u4"), np.frombuffer(more, "<u4")
-            again[segment][at[once[segment][at]]] = True
-            again[segment][twice] = True
-            once[segment][at] = True
-    for segment, bits in again.items():
-        if bits.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([segment], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["segment", "bits"])
-
-
-def repeated_positions(hashes: DataFrame, log2_bits: int = 27) -> np.ndarray:
-    """First pass over a table with one long column: the table of positions hit by two rows or more, as packed bits.
-
-    2**27 bits are 16 MB, whatever the input; that is what the driver gets and broadcasts.
-    """
-    segments = max(1, 1 << (log2_bits - SEGMENT_BITS))
-    merged = (
-        hashes.mapInArrow(_partial(log2_bits), "segment int, hit binary, hit_again binary")
-        .repartition(segments, "segment")
-        .mapInArrow(_merge, "segment int, bits binary")
-    )
-    table = np.zeros(segments << (SEGMENT_BITS - 3), np.uint8)
-    for segment, bits in merged.collect():
-        start = segment << (SEGMENT_BITS - 3)
-        table[start : start + len(bits)] = np.frombuffer(bits, np.uint8)
-    return table
-
-
-def maybe_repeated(df: DataFrame, hash_column: Column, table: np.ndarray, log2_bits: int = 27) -> Column:
-    """Second pass: false only for rows whose hash occurs once in the table's input."""
-    shared = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        bits = shared.value
-        at = _positions(h.to_numpy(), log2_bits).astype(np.int64).reshape(2, -1)
-        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0))
-
-    return test(hash_column)
-
 
 def _winners(rows: DataFrame, digest: str, key: str) -> DataFrame:
     """One row per text that occurs more than once. Partial sums come first, so a text with very many copies is cheap."""
@@ -116,13 +25,13 @@ def _winners(rows: DataFrame, digest: str, key: str) -> DataFrame:
                   "exact-dedup-groups")
 
 
-def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 27) -> DataFrame:
+def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = bloom.LOG2_BITS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     text = text_or_empty(text_col)
     rows = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"),
                               F.xxhash64(text).alias("h")), "exact-dedup-hashes")
-    table = repeated_positions(rows.select("h"), log2_bits)
-    rows = rows.withColumn("maybe", maybe_repeated(rows, F.col("h"), table, log2_bits))
+    table = bloom.table_of(rows.select("h"), True, log2_bits)
+    rows = rows.withColumn("maybe", bloom.maybe(docs.sparkSession, F.col("h"), table, log2_bits))
     found = rows.where("maybe")
     found = found.join(_winners(found.select("sha", "doc_id"), "sha", "doc_id"), "sha", "left")
     alone = rows.where("not maybe").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
@@ -133,12 +42,12 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                       F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = 27) -> DataFrame:
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bits: int = bloom.LOG2_BITS) -> DataFrame:
     """The documents that stay, with all their columns. Whole rows shuffle only where the text may be repeated."""
     text = text_or_empty(text_col)
-    table = repeated_positions(docs.select(F.xxhash64(text).alias("h")), log2_bits)
+    table = bloom.table_of(docs.select(F.xxhash64(text).alias("h")), True, log2_bits)
     maybe, digest = free_name(docs, "_maybe"), free_name(docs, "_digest")
-    flagged = docs.withColumn(maybe, maybe_repeated(docs, F.xxhash64(text), table, log2_bits))
+    flagged = docs.withColumn(maybe, bloom.maybe(docs.sparkSession, F.xxhash64(text), table, log2_bits))
     alone = flagged.where(~F.col(maybe)).drop(maybe)
     found = flagged.where(maybe).drop(maybe).withColumn(digest, F.sha2(text, 256))
     groups = _winners(found.select(F.col(digest).alias("sha"), F.col(f"`{id_col}`").alias("id")), "sha", "id").alias("g")

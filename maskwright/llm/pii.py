@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from maskwright.llm.common import sample_by_hash
 from maskwright.llm.spans import Span, find_in_texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -254,7 +255,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(text.alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("h"))
     rows = rows.where(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= sample_bytes))
-    sample = [r.text for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
+    sample = [r.text for r in sample_by_hash(rows, "h", sample_docs).collect()]
     examples = []
     for text in sample:
         gold = {(a, k, b) for a, k, b in base_spans(text)}

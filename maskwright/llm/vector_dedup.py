@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import staged
+from maskwright.llm.common import sample_by_hash, staged
 from maskwright.llm.components import components
 
 LIMIT = 0.93
@@ -125,8 +125,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sizes = [r.d for r in classes.groupBy(F.length("v").alias("d")).count().select("d").limit(MOST_SIZES + 1).collect()]
     if len(sizes) > MOST_SIZES:
         raise ValueError(f"vectors of more than {MOST_SIZES} different lengths")
-    pivots = {d: [bytes(r.v) for r in classes.where(F.length("v") == d).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n_pivots).collect()]
-              for d in sizes}
+    hashed = classes.groupBy("v").agg(F.xxhash64("v").alias("h"))
+    pivots = {d: [bytes(r.v) for r in sample_by_hash(hashed.where(F.length("v") == d), "h", n_pivots).collect()] for d in sizes}
     listed = nearest - shared + 1
     call = _lists(vectors.sparkSession.sparkContext.broadcast(pivots), nearest, listed)
     postings = staged(classes.select("cid", "label", "v", "n").mapInArrow(

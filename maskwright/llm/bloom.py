@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -98,8 +97,8 @@ def maybe(spark: SparkSession, hash_column: Column, table: np.ndarray, log2_bits
     """``found`` as a column."""
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(found(shared.value, h.to_numpy(), log2_bits))
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(found(shared.value, h.to_numpy(zero_copy_only=False), log2_bits))
 
     return test(hash_column)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -13,6 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Bytes of rows that go to a Python worker at once, in place of Spark's larger default: two copies in the JVM and two in the worker
+#: for every running task would otherwise be the largest part of an executor's memory.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -34,6 +41,8 @@ def staged(df: DataFrame, tag: str, parts: int | None = None) -> DataFrame:
     number of tasks that its size is worth, where that is known; more partitions than that are put together.
     """
     spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     if parts:
         df = df.coalesce(parts)
@@ -56,7 +65,7 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def pieces(frames: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(frames: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a column of strings holds at most ``most`` bytes, or one row: bounds what an operator unpacks at once."""
     for b in frames:
         if b.num_rows == 0:
@@ -69,6 +78,15 @@ def pieces(frames: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -
             end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield b.slice(start, end - start)
             start = end
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give memory that a task's arrays have left back to the system; the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

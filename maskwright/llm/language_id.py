@@ -25,12 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from maskwright.llm.common import staged, text_buffer
+from maskwright.llm.common import pieces, staged, text_buffer
 
 ORDER = 3
 SAMPLE_DOCS = 256
 SAMPLE_BYTES = 16_384
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 UNDETERMINED = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", lang_pred string, score double"
 
     def run(frames):
-        for b in frames:
+        for b in pieces(frames, "__text"):
             langs, score = call(b)
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(langs, pa.string()), pa.array(score)],
                                              names=[*b.schema.names[:-2], "lang_pred", "score"])
@@ -228,7 +228,7 @@ def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text") -> Da
     call = _predictor(docs.sparkSession.sparkContext.broadcast(trees), at, len(names))
 
     def run(frames):
-        for b in frames:
+        for b in pieces(frames, names[at]):
             langs, _ = call(b)
             kept = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
             yield kept.filter(pc.not_equal(pa.array(langs, pa.string()), UNDETERMINED))

@@ -33,7 +33,7 @@ from maskwright.llm.shingles import shingle_sets
 LIMIT = 80  # hundredths
 HOT = 1 << 20
 HOT_LEAST = 6
-FLUSH = 2_000_000  # tokens held by a task
+FLUSH = 1_000_000  # tokens held by a task
 BUCKET_BYTES = 1 << 26  # bytes of text per bucket of tokens
 NEAR = 6  # shared tokens of a class whose leaders it is compared with
 PROBE = 16  # shared tokens of a class that are tried against the leader of another group

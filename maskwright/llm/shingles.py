@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-PIECE = 1 << 20  # bytes hashed at once
+PIECE = 1 << 18  # bytes hashed at once
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)

@@ -6,8 +6,9 @@ longer context that had to be escaped from; a byte new to a language costs 8 bit
 after training. A text belongs to the language that codes it shortest, and the score is that language's share of
 ``2 ** -bits`` over all languages.
 
-Trees are fitted on a bounded sample: per language the ``SAMPLE_DOCS`` training texts with the lowest hash of the id, among
-those of at most ``SAMPLE_BYTES`` bytes. Every text is scored whole. The trees of all languages share one table of n-grams, so
+Trees are fitted on a sample of whole texts: per language the training texts of at most ``SAMPLE_BYTES`` bytes by the hash of the
+id, then the longer ones, up to ``SAMPLE_DOCS`` texts and until they hold ``SAMPLE_DOCS * SAMPLE_BYTES`` bytes. The first text always
+counts, so that every language with a text is learned. Every text is scored whole. The trees of all languages share one table of n-grams, so
 that the cost of a byte in all languages is the sum of two table rows: the escapes of the longest known context, and
 the cost of the longest known n-gram less the escapes below it.
 
@@ -63,10 +64,13 @@ def _counter(order: int):
                 own = np.ones(len(buffer), bool)
                 for k in range(order):
                     own[starts[:-1] + k] = False
-                gram, n = np.unique(_grams(buffer, order + 1)[own], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    names=["lang", "gram", "n"])
+                for a in range(0, len(buffer), CHUNK):
+                    lead = min(a, order)
+                    grams = _grams(buffer[a - lead : a + CHUNK], order + 1)[lead:]
+                    gram, n = np.unique(grams[own[a : a + CHUNK]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))],
+                        names=["lang", "gram", "n"])
     return run
 
 
@@ -176,10 +180,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """Fit the trees on the sample; rows without text or language are left out. The driver gets its n-gram counts."""
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"),
                            F.xxhash64(F.col(f"`{id_col}`").cast("string")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    ranked = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    chosen = staged(ranked.where(F.col("r") <= sample_docs).groupBy("lang").agg(F.max("h").alias("top")), "language-sample")
-    sample = rows.join(F.broadcast(chosen), "lang").where("h <= top").select("lang", "text")
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("size", F.octet_length("text").cast("long"))
+    rows = rows.withColumn("place", F.struct((F.col("size") > sample_bytes).alias("over"), "h"))
+    in_order = Window.partitionBy("lang").orderBy("place")
+    ranked = rows.select("lang", "place", "size").withColumn("r", F.row_number().over(in_order)).where(F.col("r") <= sample_docs)
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enough = ranked.withColumn("before", before).where((F.col("r") == 1) | (F.col("before") < sample_docs * sample_bytes))
+    chosen = staged(enough.groupBy("lang").agg(F.max("place").alias("top")), "language-sample")
+    sample = rows.join(F.broadcast(chosen), "lang").where("place <= top").select("lang", "text")
     counts = sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Trees({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy()) for lang, g in counts.groupby("lang")}, order)
 

@@ -88,6 +88,20 @@ def test_language_edges(spark):
     assert language_id.predict(docs.limit(0), trees).count() == 0
 
 
+def test_languages_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CHUNK", 1000)
+    rows = [(1, "the house and the garden " * 2000, "en"), (2, "das haus und der garten " * 2000, "de"), (3, "la maison et le jardin", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language_id.train(docs)
+    assert trees.langs == ["de", "en", "fr"]
+    assert {(r.doc_id, r.lang_pred) for r in language_id.predict(docs, trees).collect()} == {(1, "en"), (2, "de"), (3, "fr")}
+    assert language_id.keep_identified(docs, language_id.train(docs.where("doc_id < 3"))).count() == 3
+    # counts don't depend on the pieces that a long text is counted in
+    monkeypatch.setattr(language_id, "CHUNK", 1 << 18)
+    data = text_buffer(pa.array([t for _, t, _ in rows]))
+    assert (trees.bits(*data) == language_id.train(docs).bits(*data)).all()
+
+
 # ------------------------------------------------------------------ logistic mixing
 def base_scores(rows, is_train):
     tokens = [(t or "").encode().lower().split() for _, t in rows]

@@ -372,11 +372,16 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One document of each component, the one with the smallest id, with all columns. Documents without an id stay.
 
-    Only rows whose id may be one to drop meet those ids in a join; the others pass straight through.
+    A document is named by its id and the hash of its text, so that rows of other texts under its id don't go with it; of different
+    texts that share the smallest id of their component the one with the smallest hash stays. Rows that repeat id and text are
+    one name, and stay or go together. Only rows whose name may be one to drop meet those names in a join; the others pass straight
+    through.
     """
-    gone = staged(join_report(docs, id_col, text_col, limit).where("not kept and component_id is not null").select(F.col(id_col).alias("__gone")).distinct(), "ngram-gone")
-    table = bloom.table_of(gone.select(F.xxhash64("__gone")))
-    key = F.col(f"`{id_col}`")
-    hit = bloom.maybe(docs.sparkSession, F.xxhash64(key), table)
-    checked = docs.where(hit).join(gone, key == F.col("__gone"), "left_anti")
+    key, h = F.col(f"`{id_col}`"), F.xxhash64(text_or_empty(text_col))
+    named = docs.select(F.when(key.isNotNull(), F.struct(key.alias("id"), h.alias("h"))).alias("name"), text_or_empty(text_col).alias("text"))
+    report = join_report(named, "name", "text", limit).where("not kept and name is not null")
+    gone = staged(report.select(F.col("name.id").alias("__gone"), F.col("name.h").alias("__gone_text")).distinct(), "ngram-gone")
+    table = bloom.table_of(gone.select(F.xxhash64("__gone", "__gone_text")))
+    hit = bloom.maybe(docs.sparkSession, F.xxhash64(key, h), table)
+    checked = docs.where(hit).join(gone, (key == F.col("__gone")) & (h == F.col("__gone_text")), "left_anti")
     return docs.where(~hit).unionByName(checked)

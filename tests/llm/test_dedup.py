@@ -139,6 +139,16 @@ def test_jaccard_edges(spark):
     assert ngram_join.join_report(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_under_a_shared_id(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (9, base + " end"), (9, "another text of its own under the default id"), (9, ""), (9, None), (-1, " ".join(f"v{k}" for k in range(60))),
+            (-1, " ".join(f"v{k}" for k in range(61))), (-1, "unique words of one more row here"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = list(map(tuple, ngram_join.drop_near_duplicates(docs).collect()))
+    assert len(left) == 7 and len(set(left) & set(rows[5:7])) == 1
+    assert set(left) - set(rows[5:7]) == {rows[0], rows[2], rows[3], rows[4], rows[7], rows[8]}
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + k, 401 + k) for k in range(50)] + [(600, 600 + k) for k in range(40)] + [(9, 9), (None, 3)]

@@ -18,6 +18,7 @@ Rows that repeat an id are documents of their own. Without rows there are no seq
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -35,6 +36,10 @@ END_ID = 1
 #: The pattern that cuts texts into pieces before byte pairs are merged; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: tiktoken's matcher keeps a state for each character of a run of white space and panics beyond about a million.
+LONGEST_BLANK = 100_000
+_BLANK = re.compile(r"\s+")
+
 
 def _byte_of() -> dict[str, int]:
     """The bytes that the characters of a byte-level vocabulary stand for: printable ones for themselves, others moved up."""
@@ -46,7 +51,8 @@ def _byte_of() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Ids of a text under a byte-level BPE file of the tokenizers library.
 
-    Texts of Latin letters go through tiktoken, which gives the same ids for them several times faster; others through tokenizers.
+    Texts of Latin letters go through tiktoken, which gives the same ids for them several times faster; others, and those with a
+    run of more than ``LONGEST_BLANK`` blanks, through tokenizers.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -66,8 +72,11 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
             return False
         return True
 
+    def blank(text: str) -> bool:
+        return len(text) > LONGEST_BLANK and any(m.end() - m.start() > LONGEST_BLANK for m in _BLANK.finditer(text))
+
     def encode(text: str) -> np.ndarray:
-        if latin(text) and not any(s in text for s in special):
+        if latin(text) and not blank(text) and not any(s in text for s in special):
             return np.array(fast.encode_ordinary(text), np.uint32)
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     return encode

@@ -205,6 +205,13 @@ def test_tokenizers_agree():
         assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\x85"])
+def test_long_blank_runs(blank):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "a b" + blank * 1_000_100 + "c d"
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline(spark):
     from test_dedup import brute_components

@@ -3,7 +3,8 @@
 Base spans come from fixed patterns. Beyond them, a string that follows a sensitive word is measured: how many bytes does it add
 to a zstandard frame primed with the corpus's identifiers and with the text around the string? Words, paths, repeated
 placeholders and names used nearby cost little; random strings cost nearly their length. Strings that cost ``NOVEL`` or more of
-their length, and hold letters and digits, are reported as ``novel``.
+their length, and hold letters and digits, are reported as ``novel``, from end to end. Strings
+of which base spans leave less than ``LEAST`` characters are not measured.
 
 The identifier dictionary holds the most frequent identifiers of all texts that hold a sensitive word, most frequent last, where
 the compressor reaches them cheapest; it is at most ``DICTIONARY_BYTES``. Identifiers are letters and underscores only, so that a
@@ -25,6 +26,7 @@ from maskwright.llm.spans import Span, find_in_texts
 
 KINDS = ("assign", "access", "hex", "novel")
 NOVEL = 0.7
+LEAST = 16
 AROUND = 512
 DICTIONARY_BYTES = 16_384
 LONGEST_IDENTIFIER = 24
@@ -35,7 +37,7 @@ _HEX = re.compile("[0-9a-f]{24,}")
 #: Words after which a string may be a secret; the gate holds a part of each.
 SENSITIVE = "bearer|authorization|credential|passphrase|password|passwd|pwd|secret|token|signature|private|key"
 _GATE = ("bearer", "authorization", "credential", "passphrase", "passw", "pwd", "secret", "token", "signature", "private", "key")
-_CANDIDATE = re.compile(rf"""(?:{SENSITIVE})[A-Za-z_]{{0,16}}["']?[\s:=>(]{{1,8}}["']?([A-Za-z0-9+/_=.-]{{16,512}})""", re.I | re.A)
+_CANDIDATE = re.compile(rf"""(?:{SENSITIVE})[A-Za-z_]{{0,16}}["']?[\s:=>(]{{1,8}}["']?([A-Za-z0-9+/_=.-]{{{LEAST},}}+)""", re.I | re.A)
 
 
 def base_spans(text: str, low: str) -> list[Span]:
@@ -48,19 +50,31 @@ def base_spans(text: str, low: str) -> list[Span]:
     return found
 
 
+def _covered(spans: list[tuple[int, int]]) -> int:
+    """Characters in sorted spans (start, end)."""
+    n = reached = 0
+    for a, b in spans:
+        n += max(0, b - max(a, reached))
+        reached = max(reached, b)
+    return n
+
+
 class Novelty:
     """Marginal compressed size of a string against identifiers and the text around it."""
 
     def __init__(self, identifiers: bytes):
         self.identifiers = identifiers
 
-    def share(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+    def share(self, piece: bytes, around: bytes) -> float:
         primed = zstandard.ZstdCompressor(level=12, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
             self.identifiers + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        piece = text[start:end].encode()
         return (len(primed.compress(piece)) - len(primed.compress(b""))) / len(piece)
 
+    def novel(self, text: str, start: int, end: int) -> bool:
+        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+        piece = text[start:end].encode()
+        return self.share(piece, around) >= NOVEL
+
     def find(self, text: str, low: str, base: list[Span]) -> list[Span]:
         if not any(word in low for word in _GATE):
             return []
@@ -68,9 +82,10 @@ class Novelty:
         for m in _CANDIDATE.finditer(text):
             a, b = m.span(1)
             s = m.group(1)
-            if any(a < d and c < b for c, _, d in base) or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
+            within = sorted((max(a, c), min(b, d)) for c, _, d in base if a < d and c < b)
+            if within and b - a - _covered(within) < LEAST or not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
                 continue
-            if self.share(text, a, b) >= NOVEL:
+            if self.novel(text, a, b):
                 out.append((a, 3, b))
         return out
 

@@ -122,3 +122,17 @@ def test_secret_novelty(spark):
     got = sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.spans) for r in secrets.find_secrets(docs, secrets.identifiers(docs)).collect()), key=repr)
     assert got == sorted([(1, 0, 0, 0, "novel:5:21")] * 2 + [(2, 0, 0, 0, ""), (3, 0, 0, 0, ""), (None, 1, 0, 0, "assign:0:16"), (4, 1, 0, 1, "assign:2:17,hex:18:42")], key=repr)
     assert secrets.find_secrets(docs.limit(0), secrets.identifiers(docs.limit(0))).count() == 0
+
+
+SECRET_WORDS = b"configure server client value password token deploy " * 60
+
+
+@pytest.mark.parametrize("size", [633, 1067, 200_000])
+def test_long_secrets_are_reported_whole(size):
+    rng = random.Random(size)
+    run = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=size))
+    find = secrets.finder(SECRET_WORDS)
+    assert find(f"Authorization: Bearer {run} end")[1] == [(22, 3, 22 + size)]
+    # a base span inside does not hide the rest
+    inside = f"{run}token=abcdef"
+    assert (22, 3, 22 + len(inside)) in find(f"Authorization: Bearer {inside} end")[1]

@@ -3,8 +3,9 @@
 Base spans come from fixed patterns. Beyond them, a string that follows a sensitive word is measured: how many bytes does it add
 to a zstandard frame primed with the corpus's identifiers and with the text around the string? Words, paths, repeated
 placeholders and names used nearby cost little; random strings cost nearly their length. Strings that cost ``NOVEL`` or more of
-their length, and hold letters and digits, are reported as ``novel``, from end to end. Strings
-of which base spans leave less than ``LEAST`` characters are not measured.
+their length, and hold letters and digits, are reported as ``novel``, from end to end. A string of more than ``WINDOW``
+characters is also measured in windows of that many, and one such window is enough: the compressor codes longer strings of few
+symbols, as hexadecimal keys are, in fewer bits. Strings of which base spans leave less than ``LEAST`` characters are not measured.
 
 The identifier dictionary holds the most frequent identifiers of all texts that hold a sensitive word, most frequent last, where
 the compressor reaches them cheapest; it is at most ``DICTIONARY_BYTES``. Identifiers are letters and underscores only, so that a
@@ -27,6 +28,7 @@ from maskwright.llm.spans import Span, find_in_texts
 KINDS = ("assign", "access", "hex", "novel")
 NOVEL = 0.7
 LEAST = 16
+WINDOW = 64
 AROUND = 512
 DICTIONARY_BYTES = 16_384
 LONGEST_IDENTIFIER = 24
@@ -73,7 +75,10 @@ class Novelty:
     def novel(self, text: str, start: int, end: int) -> bool:
         around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
         piece = text[start:end].encode()
-        return self.share(piece, around) >= NOVEL
+        if self.share(piece, around) >= NOVEL:
+            return True
+        at = [*range(0, len(piece) - WINDOW, WINDOW), len(piece) - WINDOW] if len(piece) > WINDOW else []
+        return any(self.share(w, around) >= NOVEL for w in dict.fromkeys(piece[k : k + WINDOW] for k in at))
 
     def find(self, text: str, low: str, base: list[Span]) -> list[Span]:
         if not any(word in low for word in _GATE):

@@ -136,3 +136,13 @@ def test_long_secrets_are_reported_whole(size):
     # a base span inside does not hide the rest
     inside = f"{run}token=abcdef"
     assert (22, 3, 22 + len(inside)) in find(f"Authorization: Bearer {inside} end")[1]
+
+
+@pytest.mark.parametrize("size", [64, 80, 96, 128, 512, 2000])
+def test_upper_case_hexadecimal_keys(size):
+    find = secrets.finder(SECRET_WORDS)
+    for seed in range(20):
+        key = "".join(random.Random(seed).choices("0123456789ABCDEF", k=size))
+        assert find(f"signing key: {key}")[1] == [(13, 3, 13 + size)], (size, seed)
+    for clean in ["configure_server2_" * 20, "A1" * 300, "x" * 200 + "1"]:
+        assert find(f"signing key: {clean}")[1] == [], clean

@@ -79,6 +79,19 @@ def test_sample_is_the_lowest_ranks(spark):
         assert copies == sorted(copies, reverse=True)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
+def test_targets_hold_with_very_long_documents(spark, seed):
+    rng = random.Random(0)
+    rows = [(k, "w " * (1 + int(rng.lognormvariate(5, 1))), "ab"[k % 2]) for k in range(600)] + [(1000, "w " * 40_000, "a"), (1001, "w " * 90_000, "b"), (1002, "w " * 30_000, "b")]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got, source = mixing.mix_report(docs, seed=seed).collect(), {i: s for i, _, s in rows}
+    for s in "ab":
+        target = next(r.target for r in got if source[r.doc_id] == s)
+        assert abs(sum(r.taken for r in got if source[r.doc_id] == s) - target) <= 0.001 * target, s
+    mixed = Counter(r.doc_id for r in mixing.mix(docs, seed=seed).collect())
+    assert mixed == +Counter({r.doc_id: r.copies for r in got})
+
+
 def test_mix_emits_copies_with_all_columns(spark):
     rows = [(k, "w " * (k % 9), f"s{k % 4}", k) for k in range(200)] + [(None, None, None, 1), (5, "w " * 5, "s1", 5)]
     docs = spark.createDataFrame(rows, DOCS + ", copies int").withColumnRenamed("copies", "p")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.llm import chat, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, pii, secrets, vector_dedup
+from maskwright.functions.expr import let
+from maskwright.llm import chat, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, periodic, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +127,54 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     held_out = fold("doc_id", 7) == 2
     return mixing_lm.score(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
+#: Documents whose hash ends in 0 are made periodic from some word on.
+_TILED = let("w", r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')", let("h", "crc32(CAST(doc_id AS STRING))", let(
+    "a", "int((h div 10) % size(w))", let("p", "int(1 + (size(w) - a) div (3 + (h div 10) % 8))",
+    "if(size(w) = 0, '', array_join(transform(sequence(0, size(w) - 1), i -> get(w, if(i < a, i, a + (i - a) % p))), ' '))"))))
+
+#: crc32 of the decimal id: eight shifts for each of its characters.
+_CRC_SQL = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z: xor(u >> 1, (u & 1) * 3988292384))))"""
+
+#: A run has at least 16 matches in a row on its diagonal, so equal runs of 16 words find all; a stretch that a shorter period
+#: covers is none of that lag.
+RUNS_SQL = rf"""
+    WITH b AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {_CRC_SQL} AS h FROM documents),
+    c AS (SELECT *, len(w) AS n, h // 10 AS g FROM b),
+    d AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM c),
+    e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d),
+    w AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+              list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM e),
+    t AS (SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM w WHERE n >= 24),
+    s AS MATERIALIZED (SELECT doc_id, n, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS s FROM t),
+    m AS (SELECT x.doc_id, y.i AS j, y.i - x.i AS q FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i AND 3 * (y.i - x.i) <= x.n),
+    o AS (SELECT doc_id, q, j, j - row_number() OVER (PARTITION BY doc_id, q ORDER BY j) AS island FROM m),
+    l AS (SELECT doc_id, min(j) - q AS start, q + count(*) + 15 AS length, q AS period FROM o GROUP BY doc_id, q, island),
+    f AS (SELECT * FROM l WHERE length >= greatest(24, 3 * period)),
+    r AS MATERIALIZED (SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f z WHERE z.doc_id = f.doc_id AND z.period < f.period AND f.period % z.period = 0
+              AND z.start <= f.start AND z.start + z.length >= f.start + f.length)),
+    u AS (SELECT doc_id, unnest(w) AS t, unnest(range(n)) AS i FROM w),
+    x AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+    k AS (SELECT u.doc_id, string_agg(t, ' ' ORDER BY i) AS kept FROM u ANTI JOIN x USING (doc_id, i) GROUP BY u.doc_id),
+    g AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+    v AS (SELECT y.* FROM r y ANTI JOIN r z ON z.doc_id = y.doc_id AND (z.length * y.period > y.length * z.period
+              OR z.length * y.period = y.length * z.period AND (z.start < y.start OR z.start = y.start AND z.period < y.period)))
+    SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+        CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM w LEFT JOIN g USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("coalesce(text, '')").alias("text"))
+    tiled = F.when(fold("doc_id", 10) == 0, F.expr(_TILED)).otherwise(F.col("text"))
+    found = periodic.periodic_runs(docs.select("doc_id", tiled.alias("text")))
+    most = """aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>),
+        (b, r) -> if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"""
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.select("doc_id", F.expr("bigint(size(runs))").alias("n_runs"), F.expr(most).alias("best"), F.expr(f"sha2({listed}, 256)").alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")

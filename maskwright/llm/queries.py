@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskwright.functions.expr import let
-from maskwright.llm import chat, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, periodic, pii, secrets, vector_dedup
+from maskwright.llm import chat, collocations, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, periodic, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,27 @@ def op12(spark, sf_dir):
                         F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         "runs_sha256", "collapsed_sha256")
+
+
+#: Phrases of 2 to 5 words within pieces, by language. A phrase that a longer candidate surrounds each time goes; so does one that
+#: is in a longer one by more than a word, as what lies between is a candidate, too.
+PHRASES_SQL = r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+    w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+    f AS MATERIALIZED (SELECT lang, k, w[i:i + k - 1] AS w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+    n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+    s AS (SELECT DISTINCT lang, f, unnest([w[1:k - 1], w[2:k]]) AS w FROM f WHERE k > 2),
+    c AS (SELECT f.* FROM f ANTI JOIN s ON s.lang = f.lang AND s.w = f.w AND s.f = f.f WHERE k > 1),
+    h AS (SELECT lang, w, f AS a, j, w[1:j] AS x, w[j + 1:k] AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+    t AS (SELECT h.lang, h.w, a, j, x.f AS l, y.f AS r, n, CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+          FROM h JOIN f x ON x.lang = h.lang AND x.w = h.x JOIN f y ON y.lang = h.lang AND y.w = h.y JOIN n ON n.lang = h.lang),
+    b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1),
+    o AS (SELECT *, array_to_string(w, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM b)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
+
+
+@query("op11_collocations", PHRASES_SQL)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskwright.functions.expr import let
-from maskwright.llm import chat, collocations, exact_dedup, language_id, mixing, mixing_lm, ngram_join, packing, periodic, pii, secrets, vector_dedup
+from maskwright.llm import chat, collocations, exact_dedup, html_extract, language_id, mixing, mixing_lm, ngram_join, packing, periodic, pii, secrets, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +202,9 @@ PHRASES_SQL = r"""
 @query("op11_collocations", PHRASES_SQL)
 def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_main_text")
+def op13(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))

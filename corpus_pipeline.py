@@ -11,34 +11,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskwright.llm import exact_dedup, language_id, mixing, ngram_join, packing
-from maskwright.llm.common import staged
+from maskwright.llm.common import release_sent, staged
 from maskwright.llm.queries import tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without text or letters go: no language can be told."""
+    release_sent()
     trees = language_id.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
     return language_id.keep_identified(docs, trees)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest id stays."""
+    release_sent()
     return exact_dedup.drop_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by similar word shingles the one with the smallest id stays."""
+    release_sent()
     return ngram_join.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their target weights; a document comes as often as it is taken."""
+    release_sent()
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, every window mixed like the whole."""
-    return packing.pack(docs, tokenizer_file(), with_ids=False)
+    """Sequences of at most 2048 tokens, every window mixed like the whole; the pieces carry their token ids."""
+    release_sent()
+    return packing.pack(docs, tokenizer_file())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

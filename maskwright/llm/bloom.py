@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from maskwright.llm.common import handed_back, send
+
 LOG2_BITS = 27
 SEGMENT_BITS = 23
 FLUSH_ROWS = 500_000
@@ -76,9 +78,9 @@ def table_of(hashes: DataFrame, repeated: bool = False, log2_bits: int = LOG2_BI
     """Packed bits for a table with one long column. ``repeated``: only positions hit by two rows or more."""
     segments = max(1, 1 << (log2_bits - SEGMENT_BITS))
     merged = (
-        hashes.mapInArrow(_partial(log2_bits), "segment int, hit binary, hit_again binary")
+        hashes.mapInArrow(handed_back(_partial(log2_bits)), "segment int, hit binary, hit_again binary")
         .repartition(segments, "segment").coalesce(segments)
-        .mapInArrow(_merge(repeated), "segment int, bits binary")
+        .mapInArrow(handed_back(_merge(repeated)), "segment int, bits binary")
     )
     table = np.zeros(segments << (SEGMENT_BITS - 3), np.uint8)
     for segment, bits in merged.collect():
@@ -95,7 +97,7 @@ def found(table: np.ndarray, h: np.ndarray, log2_bits: int = LOG2_BITS) -> np.nd
 
 def maybe(spark: SparkSession, hash_column: Column, table: np.ndarray, log2_bits: int = LOG2_BITS) -> Column:
     """``found`` as a column."""
-    shared = spark.sparkContext.broadcast(table)
+    shared = send(spark, table)
 
     @F.arrow_udf("boolean")
     def test(h: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import text_buffer
+from maskwright.llm.common import handed_back, text_buffer
 
 ASSISTANT = "assistant"
 OPEN, CLOSE, END = b"<|", b"|>\n", b"<|end|>\n"
@@ -100,7 +100,7 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
             end = np.where(learnt, end.to_numpy(), start)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), formatted, pa.array(start), pa.array(end)],
                                              names=["conv_id", "turn", "formatted", "loss_start", "loss_end"])
-    return rows.mapInArrow(run, f"conv_id {types['conv_id']}, turn {types['turn']}, formatted string, loss_start long, loss_end long")
+    return rows.mapInArrow(handed_back(run), f"conv_id {types['conv_id']}, turn {types['turn']}, formatted string, loss_start long, loss_end long")
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -155,7 +155,7 @@ def digest(turns: DataFrame) -> DataFrame:
                 done = []
         if begun:
             yield _table([(now, n, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), chars)], conv_type, names)
-    return ordered.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(handed_back(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _table(rows: list[tuple], conv_type: pa.DataType, names: list[str]) -> pa.RecordBatch:

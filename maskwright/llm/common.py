@@ -6,11 +6,12 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -81,6 +82,34 @@ def pieces(frames: Iterable[pa.RecordBatch], column: str, most: int = 1 << 20) -
     release_memory()
 
 
+def handed_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, and memory given back when it has ended and nothing of it is held any more."""
+    def wrapped(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(frames)
+        finally:
+            release_memory()
+    return wrapped
+
+
+_SENT: list[tuple[SparkContext, Broadcast]] = []
+
+
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast ``value``; ``release_sent`` frees the executors of it."""
+    sent = spark.sparkContext.broadcast(value)
+    _SENT.append((spark.sparkContext, sent))
+    return sent
+
+
+def release_sent() -> None:
+    """Drop what was sent from the executors; what is still needed they fetch again."""
+    while _SENT:
+        context, sent = _SENT.pop()
+        if context._jsc is not None:  # the session may have ended
+            sent.unpersist()
+
+
 def release_memory() -> None:
     """Give memory that a task's arrays have left back to the system; the worker lives on for other tasks."""
     pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from maskwright.llm.common import pieces, staged, text_buffer
+from maskwright.llm.common import handed_back, pieces, send, staged, text_buffer
 
 ORDER = 3
 SAMPLE_DOCS = 256
@@ -188,7 +188,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     enough = ranked.withColumn("before", before).where((F.col("r") == 1) | (F.col("before") < sample_docs * sample_bytes))
     chosen = staged(enough.groupBy("lang").agg(F.max("place").alias("top")), "language-sample")
     sample = rows.join(F.broadcast(chosen), "lang").where("place <= top").select("lang", "text")
-    counts = sample.mapInArrow(_counter(order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(handed_back(_counter(order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     return Trees({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy()) for lang, g in counts.groupby("lang")}, order)
 
 
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), *[c.alias(k) for k, c in extra.items()], has_letter(text).alias("__letter"), text.alias("__text"))
     n = len(rows.columns)
-    call = _predictor(docs.sparkSession.sparkContext.broadcast(trees), n - 1, n - 2)
+    call = _predictor(send(docs.sparkSession, trees), n - 1, n - 2)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]) + ", lang_pred string, score double"
 
     def run(frames):
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
             langs, score = call(b)
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(langs, pa.string()), pa.array(score)],
                                              names=[*b.schema.names[:-2], "lang_pred", "score"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(handed_back(run), schema)
 
 
 def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
@@ -233,11 +233,11 @@ def keep_identified(docs: DataFrame, trees: Trees, text_col: str = "text") -> Da
     rows = docs.toDF(*names)
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     rows = rows.select(*names, has_letter(F.col(names[at])).alias("letter"))
-    call = _predictor(docs.sparkSession.sparkContext.broadcast(trees), at, len(names))
+    call = _predictor(send(docs.sparkSession, trees), at, len(names))
 
     def run(frames):
         for b in pieces(frames, names[at]):
             langs, _ = call(b)
             kept = pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1])
             yield kept.filter(pc.not_equal(pa.array(langs, pa.string()), UNDETERMINED))
-    return rows.mapInArrow(run, docs.toDF(*names).schema).toDF(*docs.columns)
+    return rows.mapInArrow(handed_back(run), docs.toDF(*names).schema).toDF(*docs.columns)

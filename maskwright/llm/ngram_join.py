@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from maskwright.llm import bloom
-from maskwright.llm.common import least_count, pieces, staged, text_buffer, text_or_empty
+from maskwright.llm.common import free_name, handed_back, least_count, pieces, send, staged, text_buffer, text_or_empty
 from maskwright.llm.components import components
 from maskwright.llm.shingles import shingle_sets
 
@@ -34,7 +34,7 @@ LIMIT = 80  # hundredths
 HOT = 1 << 20
 HOT_LEAST = 6
 FLUSH = 1_000_000  # tokens held by a task
-BUCKET_BYTES = 1 << 26  # bytes of text per bucket of tokens
+BUCKET_BYTES = 1 << 24  # bytes of text per bucket of tokens
 NEAR = 6  # shared tokens of a class whose leaders it is compared with
 PROBE = 16  # shared tokens of a class that are tried against the leader of another group
 PART = 1024  # pairs of one class that a task compares
@@ -138,7 +138,7 @@ def _to_buckets(df: DataFrame, buckets: int) -> DataFrame:
 def frequent_tokens(first: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the most frequent tokens, sorted, and their ranks: at most HOT of them come to the driver."""
     sent = _to_buckets(first.where("bucket is not null").select("bucket", "tokens"), buckets)
-    counted = staged(sent.mapInArrow(_frequent, "token long, n long"), "ngram-frequent", buckets)
+    counted = staged(sent.mapInArrow(handed_back(_frequent), "token long, n long"), "ngram-frequent", buckets)
     top = counted.where(F.col("n") >= least_count(counted, "n", HOT)).toPandas().sort_values(["n", "token"])
     key, rank = top["token"].to_numpy(np.int64), np.arange(len(top))
     order = np.argsort(key)
@@ -275,7 +275,7 @@ def compare(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     left = (parts.join(sets.withColumnRenamed("cid", "a"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .select("a", "part", F.lit(None).cast("long").alias("b"), "tokens"))
     rows = left.unionByName(right).repartition(tasks, "a", "part").coalesce(tasks).sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return staged(rows.select("a", "b", "tokens").mapInArrow(_verify(limit), "a long, b long"), "ngram-links", tasks)
+    return staged(rows.select("a", "b", "tokens").mapInArrow(handed_back(_verify(limit)), "a long, b long"), "ngram-links", tasks)
 
 
 def _fits(m: Column, n: Column, limit: int) -> Column:
@@ -347,17 +347,17 @@ def join_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 << min(20, max(3, math.ceil(math.log2(max(1, size / BUCKET_BYTES)))))
 
-    first = staged(texts.mapInArrow(_first(buckets), f"doc_id {kind}, n int, cid long, bucket int, tokens binary"), "ngram-first")
+    first = staged(texts.mapInArrow(handed_back(_first(buckets)), f"doc_id {kind}, n int, cid long, bucket int, tokens binary"), "ngram-first")
     rows = first.where("bucket is null").select("doc_id", "n", "cid")
-    hot = spark.sparkContext.broadcast(frequent_tokens(first, buckets))
-    prefixes = texts.select("text").mapInArrow(_prefixes(hot, limit, buckets), "bucket int, token binary, cid binary, n binary, place binary")
-    runs = staged(_to_buckets(prefixes, buckets).mapInArrow(_runs, "token long, cid long, n int, place int"), "ngram-runs")
+    hot = send(spark, frequent_tokens(first, buckets))
+    prefixes = texts.select("text").mapInArrow(handed_back(_prefixes(hot, limit, buckets)), "bucket int, token binary, cid binary, n binary, place binary")
+    runs = staged(_to_buckets(prefixes, buckets).mapInArrow(handed_back(_runs), "token long, cid long, n int, place int"), "ngram-runs")
     runs = _trimmed(runs, limit)
 
     wanted = staged(runs.select("cid").distinct(), "ngram-wanted", 64)
     ids = rows.join(wanted, "cid").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    table = spark.sparkContext.broadcast(bloom.table_of(ids.select(F.xxhash64("doc_id"))))
-    sets = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(table), "cid long, tokens binary")
+    table = send(spark, bloom.table_of(ids.select(F.xxhash64("doc_id"))))
+    sets = texts.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(handed_back(_sets_of(table)), "cid long, tokens binary")
     sets = staged(sets.dropDuplicates(["cid"]), "ngram-sets")
 
     groups = group_classes(runs, sets, limit)
@@ -380,8 +380,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key, h = F.col(f"`{id_col}`"), F.xxhash64(text_or_empty(text_col))
     named = docs.select(F.when(key.isNotNull(), F.struct(key.alias("id"), h.alias("h"))).alias("name"), text_or_empty(text_col).alias("text"))
     report = join_report(named, "name", "text", limit).where("not kept and name is not null")
-    gone = staged(report.select(F.col("name.id").alias("__gone"), F.col("name.h").alias("__gone_text")).distinct(), "ngram-gone")
-    table = bloom.table_of(gone.select(F.xxhash64("__gone", "__gone_text")))
+    ids, texts = free_name(docs, "gone"), free_name(docs, "gone_text")
+    gone = staged(report.select(F.col("name.id").alias(ids), F.col("name.h").alias(texts)).distinct(), "ngram-gone")
+    table = bloom.table_of(gone.select(F.xxhash64(ids, texts)))
     hit = bloom.maybe(docs.sparkSession, F.xxhash64(key, h), table)
-    checked = docs.where(hit).join(gone, (key == F.col("__gone")) & (h == F.col("__gone_text")), "left_anti")
+    checked = docs.where(hit).join(gone, (key == F.col(ids)) & (h == F.col(texts)), "left_anti")
     return docs.where(~hit).unionByName(checked)

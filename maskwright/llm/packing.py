@@ -21,17 +21,19 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from maskwright.llm.common import staged
+from maskwright.llm.common import handed_back, pieces, staged
 
 SIZE = 2048
 LEAST = 64
 WINDOWS = 512
+BLOCKS_PER_TASK = 8
 END_ID = 1
 #: The pattern that cuts texts into pieces before byte pairs are merged; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,8 +50,9 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under a byte-level BPE file of the tokenizers library.
+    """Ids of a text under a byte-level BPE file of the tokenizers library; read once in a Python worker.
 
     Texts of Latin letters go through tiktoken, which gives the same ids for them several times faster; others, and those with a
     run of more than ``LONGEST_BLANK`` blanks, through tokenizers.
@@ -57,7 +60,10 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def tokenizer() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -78,7 +84,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     def encode(text: str) -> np.ndarray:
         if latin(text) and not blank(text) and not any(s in text for s in special):
             return np.array(fast.encode_ordinary(text), np.uint32)
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(tokenizer().encode(text, add_special_tokens=False).ids, np.uint32)
     return encode
 
 
@@ -87,7 +93,7 @@ def _tokenize(path: str, kind: np.dtype, end_id: int):
         """Token ids of each text, and its place among the texts of its source in this partition."""
         encode = encoder(path)
         part, reached = TaskContext.get().partitionId(), {}
-        for b in frames:
+        for b in pieces(frames, "text"):
             sources, n, at, ids = b.column(1).to_pylist(), [], [], []
             for source, value in zip(sources, b.column(2)):
                 text = value.as_py()
@@ -111,7 +117,7 @@ def _reached(window: int, low: int, high: int, total: int, size: int) -> int:
 def _split(size: int, windows: int, width: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cut documents where blocks begin."""
-        for b in frames:
+        for b in pieces(frames, "ids"):
             rows, out = b.to_pydict(), {k: [] for k in ("row", "block", "queue", "place", "start", "length", "ids")}
             for i, (n, at, ids, low, high, total) in enumerate(zip(*(rows[k] for k in ("n", "at", "ids", "low", "high", "total")))):
                 block = max(0, at * total // max(1, (high - low) * size * windows) - 1)
@@ -243,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = np.dtype(f"<u{id_bytes}")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source string"
-    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, kind, end_id), f"{key}, part int, n long, at long, ids binary"), "packing-tokens")
+    tokens = staged(rows.mapInArrow(handed_back(_tokenize(tokenizer, kind, end_id)), f"{key}, part int, n long, at long, ids binary"), "packing-tokens")
 
     # where each (partition, source) begins in its queue, and which part of all tokens each queue is
     parts = staged(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-parts")
@@ -257,8 +263,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     .select("p.part", F.col("p.source").alias("name"), "base", "low", "high", "total"), "packing-places")
     placed = tokens.alias("t").join(places.alias("p"), (F.col("t.part") == F.col("p.part")) & F.col("t.source").eqNullSafe(F.col("p.name"))).select(
         "doc_id", "source", "n", (F.col("at") + F.col("base")).alias("at"), "ids", "low", "high", "total")
-    pieces = placed.mapInArrow(_split(size, windows, id_bytes), f"{key}, doc_tokens long, block long, queue long, place long, start long, length long, ids binary")
-    ordered = pieces.repartition("block").sortWithinPartitions("block", "queue", "place")
-    out = ordered.mapInArrow(_fill(size, least, windows, kind, with_ids), f"{key}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, "
+    cut = placed.mapInArrow(handed_back(_split(size, windows, id_bytes)), f"{key}, doc_tokens long, block long, queue long, place long, start long, length long, ids binary")
+    blocks = (shares.agg(F.max("total")).first()[0] or 0) // (size * windows) + 1
+    ordered = cut.repartition(-(-blocks // BLOCKS_PER_TASK), "block").sortWithinPartitions("block", "queue", "place")
+    out = ordered.mapInArrow(handed_back(_fill(size, least, windows, kind, with_ids)), f"{key}, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, "
                              "offset long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("doc_id", id_col)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import sample_by_hash
+from maskwright.llm.common import sample_by_hash, send
 from maskwright.llm.spans import Span, find_in_texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -281,5 +281,5 @@ def finder(field: Field):
 
 def find_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = send(docs.sparkSession, field)
     return find_in_texts(docs, id_col, text_col, KINDS, len(KINDS), lambda: finder(shared.value))

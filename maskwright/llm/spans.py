@@ -47,4 +47,4 @@ def find_in_texts(docs: DataFrame, id_col: str, text_col: str, kinds: tuple[str,
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in n], pa.array(digest), pa.array(spans)],
                                              names=[id_col, *counts, "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(handed_back(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import sample_by_hash, staged
+from maskwright.llm.common import handed_back, sample_by_hash, send, staged
 from maskwright.llm.components import components
 
 LIMIT = 0.93
@@ -116,7 +116,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per vector: id, n_links (other vectors linked), component_id (smallest id reachable), kept (id is component_id)."""
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").alias("label"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    rows = staged(rows.mapInArrow(_valid, f"vec_id {types['vec_id']}, v binary, label {types['label']}"), "vectors")
+    rows = staged(rows.mapInArrow(handed_back(_valid), f"vec_id {types['vec_id']}, v binary, label {types['label']}"), "vectors")
     alone = F.col("v").isNull() | F.col("label").isNull()
     linkable = rows.where(~alone)
     classes = staged(linkable.groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"))
@@ -128,9 +128,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     hashed = classes.groupBy("v").agg(F.xxhash64("v").alias("h"))
     pivots = {d: [bytes(r.v) for r in sample_by_hash(hashed.where(F.length("v") == d), "h", n_pivots).collect()] for d in sizes}
     listed = nearest - shared + 1
-    call = _lists(vectors.sparkSession.sparkContext.broadcast(pivots), nearest, listed)
+    call = _lists(send(vectors.sparkSession, pivots), nearest, listed)
     postings = staged(classes.select("cid", "label", "v", "n").mapInArrow(
-        call, f"cid long, label {types['label']}, v binary, n long, pivot int, near binary"), "vector-lists")
+        handed_back(call), f"cid long, label {types['label']}, v binary, n long, pivot int, near binary"), "vector-lists")
     size = F.length("v")
     lists = postings.groupBy("label", "pivot", size.alias("d")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     cut = postings.join(staged(lists, "vector-list-sizes").withColumnsRenamed({"label": "l", "pivot": "p"}),

@@ -1,5 +1,6 @@
 """Find and mask sensitive values in text columns of Spark tables and streams."""
 
+from maskwright.operators.many_rules import RuleTable
 from maskwright.plans.sanitize import (
     raw_findings, register_sql, sanitize, sanitize_text, with_candidates, with_spans,
 )
@@ -8,6 +9,6 @@ from maskwright.rules import (
 )
 
 __all__ = [
-    "Detector", "Rule", "RuleSet", "default_rules", "profile_names", "raw_findings", "register_sql",
+    "Detector", "Rule", "RuleSet", "RuleTable", "default_rules", "profile_names", "raw_findings", "register_sql",
     "rules_for_profile", "sanitize", "sanitize_text", "with_candidates", "with_spans",
 ]

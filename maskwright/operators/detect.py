@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.checks import CHECKS
 from maskwright.functions.expr import empty_array, let, lit, running
-from maskwright.rules import Rule, RuleSet
+from maskwright.rules import Detector, Rule, RuleSet
 
 SPAN_TYPE = ("STRUCT<start: INT, end: INT, original: STRING, replacement: STRING, category: STRING,"
              " label: STRING, confidence: DOUBLE>")
@@ -88,7 +88,7 @@ def _gaps(x: str, rules: list[tuple[int, Rule]], k: str) -> str:
                                f" split({replaced}, v_mark, -1))")
 
 
-def _locate(matches: str, gaps: str, rule: str) -> str:
+def locate(matches: str, gaps: str, rule: str) -> str:
     """Turn one rule's matches and the gaps before them into candidates."""
     ends = running(f"zip_with({matches}, slice({gaps}, 1, size({matches})),"
                    " (v_m, v_g) -> length(v_g) + length(v_m))", "0", "v_l + v_r")
@@ -108,7 +108,7 @@ def rule_candidates(x: str, opened: str, rules: list[tuple[int, Rule]]) -> str:
     """Candidates of the JVM rules whose numbers are in ``opened``; other texts skip all of this."""
     hits = f"""filter(transform({opened}, v_n -> named_struct(
         'k', v_n, 'm', {_per_rule(rules, 'v_n', f'regexp_extract_all({x}, {{}}, 0)')})), v_r -> size(v_r.m) > 0)"""
-    located = _checked(_locate("v_q.m", "v_q.g", "v_q.rule"), rules)
+    located = _checked(locate("v_q.m", "v_q.g", "v_q.rule"), rules)
     return f"""CASE WHEN size({opened}) > 0 THEN flatten(transform(
         transform({hits}, v_r -> named_struct('m', v_r.m, 'g', {_gaps(x, rules, 'v_r.k')},
                                               'rule', element_at({_rule_table(rules)}, v_r.k))),
@@ -156,18 +156,19 @@ def span_to_candidate(spans: str, ord_: int, category: str | None = None) -> str
 
 
 def rule_plan(ruleset: RuleSet, min_confidence: float = 0.0):
-    """Split a rule set by engine: (JVM rules, Python rules, user detectors), each with its rank.
+    """Split a rule set by engine: (JVM rules, Python rules, user detectors, rule tables), each with its rank.
 
     A rank is the place in detection order: by priority, then as listed (rules before user
-    detectors of the same priority).
+    detectors of the same priority, those before rule tables). A table takes a rank for each of its rules.
     """
-    sources = sorted([*ruleset.rules, *ruleset.detectors], key=lambda i: i.priority)
-    ranked = list(enumerate(sources))
+    sources = sorted([*ruleset.rules, *ruleset.detectors, *ruleset.tables], key=lambda i: i.priority)
+    sizes = [len(i) if i in ruleset.tables else 1 for i in sources]
+    ranked = [(sum(sizes[:k]), i) for k, i in enumerate(sources)]
     rules = [(o, r) for o, r in ranked if isinstance(r, Rule) and r.confidence >= min_confidence]
     unchecked = [(o, r) for o, r in rules if r.resolved_engine() == "python"]
     bad = [r.label for _, r in unchecked if r.check]
     if bad:
         raise ValueError(f"checksum rules must be plain patterns: {', '.join(bad)}")
     return ([(o, r) for o, r in rules if r.resolved_engine() == "jvm"], unchecked,
-            [(o, d) for o, d in ranked if not isinstance(d, Rule)])
+            [(o, d) for o, d in ranked if isinstance(d, Detector)], [(o, t) for o, t in ranked if t in ruleset.tables])
 

@@ -34,7 +34,7 @@ def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies:
             coalesce(element_at(map({allowed}), _mw_profile), array(raise_error(
                 concat('Unknown profile: ', _mw_profile)))), {category})))"""
 
-    jvm, _, _ = rule_plan(RuleSet.of(rules))
+    jvm, *_ = rule_plan(RuleSet.of(rules))
     table = ", ".join(f"named_struct('k', {k}, 'conf', {float(r.confidence)!r}D, 'cat', {lit(r.category)})"
                       for k, (_, r) in enumerate(jvm, 1))
     open_to = f"transform(filter(array({table}), v_r -> {permits('v_r.conf', 'v_r.cat')}), v_r -> v_r.k)" if jvm else None

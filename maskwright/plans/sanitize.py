@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from maskwright.functions.expr import empty_array, free_for, ident, let, valid_utf8
-from maskwright.operators import detect
+from maskwright.operators import detect, many_rules
 from maskwright.operators.redact import apply_replacements, spliced
 from maskwright.operators.report import report
 from maskwright.operators.resolve import resolved_spans
 from maskwright.rules import Detector, Rule, RuleSet
 
-Rules = RuleSet | Iterable[Rule | Detector] | None
+Rules = RuleSet | Iterable[Rule | Detector | many_rules.RuleTable] | None
 
 
-def computed_once(df: DataFrame, name: str, sql: str) -> DataFrame:
+def computed_once(df: DataFrame, name: str, sql: str | Column) -> DataFrame:
     """Add a costly column that is computed once per row, whatever is done with it later.
 
     A filter on a projected column is pushed down by copying the column's expression. A generator's
     output is never copied, while filters on other columns still move below it.
     """
-    return free_for(df, name).select("*", F.explode(F.array(F.expr(sql))).alias(name))
+    return free_for(df, name).select("*", F.explode(F.array(F.expr(sql) if isinstance(sql, str) else sql)).alias(name))
 
 
 def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float, external: str | None,
@@ -32,7 +32,7 @@ def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
     ``allowed`` is an expression for the numbers of the JVM rules that may run on a row.
     """
     ruleset = RuleSet.of(rules)
-    jvm, python, detectors = detect.rule_plan(ruleset, min_confidence)
+    jvm, python, detectors, tables = detect.rule_plan(ruleset, min_confidence)
     df = df.withColumn("_mw_text", F.expr(valid_utf8(ident(text_col), on_invalid)))
     x, parts, dynamic, extra = "_mw_text", [], [], ["_mw_text"]
     if jvm:
@@ -53,10 +53,20 @@ def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
         dynamic.append(detect.span_to_candidate(f"coalesce({name}, {empty_array(detect.SPAN_TYPE)})",
                                                 ord_, d.category))
         extra.append(name)
+    for first, rules_held in tables:
+        for number in range(len(rules_held.slices)):
+            name = f"_mw_table_{first}_{number}"
+            df = computed_once(df, name, rules_held.opened(df.sparkSession, F.col(x), number, first, min_confidence))
+            parts.append(many_rules.jvm_candidates(x, name))
+            extra.append(name)
+            if any(r[5] is None for r in rules_held.slices[number]):
+                df = df.withColumn(f"{name}_python", many_rules.python_candidates(F.col(x), F.col(name)))
+                parts.append(f"{name}_python")
+                extra.append(f"{name}_python")
     if external:
         dynamic.append(detect.span_to_candidate(
             f"coalesce({ident(external)}, {empty_array(detect.SPAN_TYPE)})",
-            len(ruleset.rules) + len(ruleset.detectors)))
+            len(ruleset.rules) + len(ruleset.detectors) + sum(map(len, ruleset.tables))))
     if min_confidence > 0.0:  # rules were filtered before the plan; scores of other sources are per span
         dynamic = [f"filter({d}, v_c -> -v_c.nc >= {float(min_confidence)!r}D)" for d in dynamic]
     parts += dynamic
@@ -106,12 +116,13 @@ def sanitize_text(spark: SparkSession, text: str, rules: Rules = None,
 
 
 def raw_findings(df: DataFrame, keys: Sequence[str], text_col: str, rules: Rules = None,
-                 min_confidence: float = 0.0) -> DataFrame:
-    """One row per detected span, overlaps included."""
+                 min_confidence: float = 0.0, rank: bool = False) -> DataFrame:
+    """One row per detected span, overlaps included; with ``rank``, the place of its rule in detection order."""
     out = with_candidates(df, text_col, rules, min_confidence, into="_mw_candidates")
-    return out.select(*keys, F.expr("""inline(transform(`_mw_candidates`, v_c -> named_struct(
+    place = ", 'rank', v_c.ord" if rank else ""
+    return out.select(*keys, F.expr(f"""inline(transform(`_mw_candidates`, v_c -> named_struct(
         'start', v_c.s, 'end', v_c.e, 'original', v_c.txt, 'replacement', v_c.rep,
-        'category', v_c.cat, 'label', v_c.lab, 'confidence', -v_c.nc)))"""))
+        'category', v_c.cat, 'label', v_c.lab, 'confidence', -v_c.nc{place})))"""))
 
 
 def register_sql(spark: SparkSession, rules: Rules = None, min_confidence: float = 0.0,
@@ -120,8 +131,8 @@ def register_sql(spark: SparkSession, rules: Rules = None, min_confidence: float
 
     They are SQL functions over built-in expressions, so queries using them stay on the JVM.
     """
-    jvm, python, detectors = detect.rule_plan(RuleSet.of(rules), min_confidence)
-    if python or detectors:
+    jvm, python, detectors, tables = detect.rule_plan(RuleSet.of(rules), min_confidence)
+    if python or detectors or tables:
         raise ValueError("SQL functions take pattern rules that run on the JVM")
     spans = let("v_x", valid_utf8("x"), resolved_spans(detect.inline_candidates("v_x", jvm)))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_spans(x STRING)"

@@ -68,10 +68,11 @@ class Detector:
 class RuleSet:
     rules: tuple[Rule, ...]
     detectors: tuple[Detector, ...] = ()
+    tables: tuple = ()  # of operators.many_rules.RuleTable
 
     @classmethod
-    def of(cls, items: RuleSet | Iterable[Rule | Detector] | None) -> RuleSet:
-        """Accept a rule set, any mix of rules and detectors, or nothing (= the defaults).
+    def of(cls, items: RuleSet | Iterable | None) -> RuleSet:
+        """Accept a rule set, any mix of rules, detectors and rule tables, or nothing (= the defaults).
 
         An empty list also means the defaults.
         """
@@ -81,7 +82,8 @@ class RuleSet:
         if not items:
             return cls(tuple(default_rules()))
         return cls(tuple(i for i in items if isinstance(i, Rule)),
-                   tuple(i for i in items if isinstance(i, Detector)))
+                   tuple(i for i in items if isinstance(i, Detector)),
+                   tuple(i for i in items if not isinstance(i, (Rule, Detector))))
 
     def ordered(self) -> list[Rule]:
         """Stable order by priority; this is the last tie-break of overlap resolution."""
@@ -272,10 +274,11 @@ _JVM = {
 }
 
 # An address is looked for from every word start, and a long run of its characters has many. So a long run that no domain
-# follows is matched as a whole, from its beginning, and dropped by the check: the search then takes linear time.
+# follows, within which no address can begin, is matched as a whole, from its beginning or where the last match ended, and dropped
+# by the check: the search then takes linear time.
 _LOCAL = "[a-z0-9._%+-]"
 _JVM["email_address"] = (java_pattern(dict((label, p) for label, p, *_ in PII)["email_address"])
-                         + rf"|(?<!{_LOCAL}){_LOCAL}{{256,}}+(?!@[a-z0-9.-]++(?<=\.[a-z]{{2,63}}))")
+                         + rf"|(?:\G|(?<!{_LOCAL})){_LOCAL}{{256,}}+(?!{java_pattern(r'@[a-z0-9.-]+\.[a-z]{2,}\b').partition(')')[2]})")
 
 _CHECKS = {"credit_card": "luhn", "iban_code": "mod97", "us_ssn": "ssn", "email_address": "at_sign"}
 

@@ -10,7 +10,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import maskwright as mw
-from maskwright.operators import external, policy, redact, report
+from maskwright.operators import external, policy, redact, report, resolve_table
 from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile
 from maskwright.sources.patterns import read_patterns
 from maskwright.sources.scratch import shared_folder
@@ -181,6 +181,36 @@ def sanitize_invalid_utf8(spark, sf_dir):
     return mw.sanitize(docs).select("id", "clean_text")
 
 
+_ITEM = "'item ' || lpad(CAST(p_partkey AS STRING), 7, '0')"
+_ITEM_LINES = """SELECT l_orderkey * 10 + l_linenumber AS id, 'ship item ' || lpad(CAST(l_partkey AS STRING), 7, '0') || 'b of item '
+    || lpad(CAST(l_suppkey AS STRING), 7, '0') || '; ITEM 0000001, item 9999999x, host=db' || CAST(l_suppkey AS STRING) || '.corp' AS text FROM lineitem"""
+
+
+@query("custom_rules_many", """
+    WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 9 THEN '[P9]' ELSE '[P' || p_partkey % 10 || ']' END AS r FROM part)
+    SELECT l_orderkey * 10 + l_linenumber AS id, 'ship ' || a.r || CASE WHEN l_partkey % 10 = 9 THEN 'b' ELSE '' END || ' of ' || coalesce(b.r, 'item ' || lpad(CAST(l_suppkey AS STRING), 7, '0'))
+        || '; ITEM 0000001, item 9999999x, host=[INTERNAL_HOSTNAME]' AS clean_text,
+        CAST(2 + (b.r IS NOT NULL)::INT AS INT) AS total_matches
+    FROM lineitem JOIN p a ON a.k = l_partkey LEFT JOIN p b ON b.k = l_suppkey""")
+def custom_rules_many(spark, sf_dir):
+    """A rule for every part, as a table, beside the built-in ones; every tenth needs Python's matcher."""
+    number = F.col("p_partkey") % 10
+    rules = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("rule_ord"), F.expr(f"if(p_partkey % 10 = 9, '(?P<item>' || {_ITEM} || ')', {_ITEM} || '[a-z]?')").alias("pattern"),
+        F.concat(F.lit("[P"), number, F.lit("]")).alias("replacement"), F.concat(F.lit("part_"), number).alias("label"))
+    out = mw.sanitize(source(spark, sf_dir, _ITEM_LINES), "text", [*default_rules(), mw.RuleTable.of(spark, rules)])
+    return out.select("id", "clean_text", F.col("report.total_matches").cast("int").alias("total_matches"))
+
+
+@query("resolved_findings", oracle.with_recursive(
+    oracle.kept(CORPUS, RULES),
+    select="SELECT id, s AS span_start, e AS span_end, txt AS original, lab AS label FROM kept"))
+def resolved_findings(spark, sf_dir):
+    """Overlaps resolved in the findings table, not in the rows of texts."""
+    found = mw.raw_findings(corpus(spark, sf_dir), ["id"], "text", rank=True)
+    return spans_out(resolve_table.resolve_findings(found, ["id"], "rank"), "id")
+
+
 @query("replacement_is_literal", f"SELECT id, replace(text, 'order ', '$1\\0{{x}} ') AS clean_text FROM ({texts.ORDER_LOG})")
 def replacement_is_literal(spark, sf_dir):
     return mw.sanitize(source(spark, sf_dir, texts.ORDER_LOG), "text",

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of rows that go to a Python worker at once, in place of Spark's larger default: two copies in the JVM and two in the worker
 #: for every running task would otherwise be the largest part of an executor's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -34,7 +34,8 @@ LIMIT = 80  # hundredths
 HOT = 1 << 20
 HOT_LEAST = 6
 FLUSH = 1_000_000  # tokens held by a task
-BUCKET_BYTES = 1 << 24  # bytes of text per bucket of tokens
+BUCKET_BYTES = 1 << 22  # bytes of text per bucket of tokens
+BUCKETS_PER_TASK = 8
 NEAR = 6  # shared tokens of a class whose leaders it is compared with
 PROBE = 16  # shared tokens of a class that are tried against the leader of another group
 PART = 1024  # pairs of one class that a task compares
@@ -132,13 +133,14 @@ def _whole(frames: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[tuple
 
 
 def _to_buckets(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").coalesce(buckets).sortWithinPartitions("bucket")
+    tasks = max(1, buckets // BUCKETS_PER_TASK)
+    return df.repartition(tasks, "bucket").coalesce(tasks).sortWithinPartitions("bucket")
 
 
 def frequent_tokens(first: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the most frequent tokens, sorted, and their ranks: at most HOT of them come to the driver."""
     sent = _to_buckets(first.where("bucket is not null").select("bucket", "tokens"), buckets)
-    counted = staged(sent.mapInArrow(handed_back(_frequent), "token long, n long"), "ngram-frequent", buckets)
+    counted = staged(sent.mapInArrow(handed_back(_frequent), "token long, n long"), "ngram-frequent", max(1, buckets // BUCKETS_PER_TASK))
     top = counted.where(F.col("n") >= least_count(counted, "n", HOT)).toPandas().sort_values(["n", "token"])
     key, rank = top["token"].to_numpy(np.int64), np.arange(len(top))
     order = np.argsort(key)

@@ -86,7 +86,7 @@ def with_blocks(findings: DataFrame, keys: Sequence[str], width: int = WIDTH, in
     met = reach.join(carried, same("_mw_stretch", "_mw_at")).drop(*names, "_mw_at")
     first = F.col("start") >= F.coalesce(F.greatest("_mw_reach", "_mw_carried"), F.col("start"))
     opened = met.withColumn("_mw_open", F.when(first, F.col("start"))).withColumn(
-        "_mw_own", F.last("_mw_open", ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
+        "_mw_own", F.last("_mw_open", ignorenulls=True).over(near))  # with its peers, of which only one is the first
     last = opened.groupBy(*keys, "_mw_stretch").agg(F.max("_mw_open").alias("_mw_last"))
     handed = last.select(*[F.col(k).alias(f"_mw_key_{i}") for i, k in enumerate(keys)], F.col("_mw_stretch").alias("_mw_at"),
                          F.last("_mw_last", ignorenulls=True).over(chain).alias("_mw_handed"))

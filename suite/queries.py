@@ -10,7 +10,7 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import maskwright as mw
-from maskwright.operators import external, policy, redact, report, resolve_table
+from maskwright.operators import external, large_text, policy, redact, report, resolve_table
 from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile
 from maskwright.sources.patterns import read_patterns
 from maskwright.sources.scratch import shared_folder
@@ -108,6 +108,23 @@ def resolved_spans(spark, sf_dir):
     return spans_out(report.findings(mw.with_spans(corpus(spark, sf_dir), "text"), ["id"]), "id")
 
 
+_MARKERS = ", ".join(f"'{r}'" for r in dict.fromkeys(r.replacement for r in RULES))
+
+
+@query("sanitize_large_files", oracle.with_recursive(
+    oracle.kept(texts.ORDER_LOG, RULES), oracle.clean(), f"m AS (SELECT unnest([{_MARKERS}]) AS marker)",
+    select="""SELECT marker, CAST(sum((length(clean_text) - length(replace(clean_text, marker, ''))) // length(marker)) AS BIGINT) AS n,
+    CAST(sum(length(clean_text) + 1) AS BIGINT) AS n_chars FROM clean, m GROUP BY marker"""))
+def sanitize_large_files(spark, sf_dir):
+    """The order log as files, masked in ranges: how often each replacement stands in them, and their length."""
+    folder = shared_folder(spark, "large-files")
+    source(spark, sf_dir, texts.ORDER_LOG).select("text").write.text(folder)
+    masked = large_text.mask_large_files(spark, folder)
+    counted = masked.select(F.length("clean_text").cast("long").alias("chars"), F.expr(f"""inline(transform(array({_MARKERS}), m -> named_struct(
+        'marker', m, 'k', (length(clean_text) - length(replace(clean_text, m, ''))) div length(m))))"""))
+    return counted.groupBy("marker").agg(F.sum("k").alias("n"), F.sum("chars").alias("n_chars"))
+
+
 @query("redact_single_rule", f"""SELECT id, regexp_replace(text, {oracle.quoted(BY_LABEL['ipv4_address'].pattern)},
     '[IP_ADDRESS]', 'g') AS clean_text FROM ({CORPUS})""")
 def redact_single_rule(spark, sf_dir):

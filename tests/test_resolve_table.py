@@ -38,7 +38,7 @@ def test_equals_the_model(spark, width):
     rng = random.Random(width)
     rows = []
     for i in range(1500):
-        s = rng.randrange(400)
+        s = rng.randrange(400) if i % 3 else 1000 + 10 * (i % 200)  # many with the same place
         rows.append((rng.choice(["a", "b", None, ""]), s, s + rng.choice([0, 1, 2, 3, 8, 60]), rng.choice([1.0, 0.9, 0.5]), f"l{i}", i))
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     got = sorted((str(r.doc), r.start, r.end, r.label) for r in resolve_findings(df, ["doc"], "rank", width).collect())

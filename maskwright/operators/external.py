@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.functions.expr import empty_array, free_for, ident, let, running, valid_utf8
+from maskwright.functions import bloom
+from maskwright.functions.expr import computed_once, empty_array, free_for, ident, let, running, valid_utf8
 from maskwright.operators.detect import SPAN_TYPE
 from maskwright.rules import ENTITY_REPLACEMENTS, PRIORITIES, SKIPPED_ENTITIES, Detector
 
@@ -48,15 +49,22 @@ def attach_entities(df: DataFrame, key: str, text_col: str, entities: DataFrame,
 _WORD = "'[\\\\p{L}\\\\p{N}_]+'"
 
 
+FEW_TERMS = 10_000
+
+
 def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame, entity: str,
-                        score: float = 0.85) -> DataFrame:
+                        score: float = 0.85, few: int = FEW_TERMS, longest_only: bool = False) -> DataFrame:
     """Occurrences of listed terms (names, places) in texts, as an entity table.
 
     ``terms`` has one column. A text becomes one narrow row per word and per term length in words,
     holding the phrase that starts there, and phrases are equi-joined to the terms; no text is
     shuffled. Spark broadcasts a list that is below its size threshold and shuffles a larger one, where
-    AQE splits frequent phrases. Matching ignores case; a term of several
-    words must be written with the same separators.
+    AQE splits frequent phrases. Of more than ``few`` terms a Bloom filter of fixed size is built on the cluster, and
+    only phrases that it lets through become rows: of a million terms, no more than a few in a thousand besides the occurrences.
+    The filter decides what is moved, never the result.
+
+    Matching ignores case; a term of several words must be written with the same separators. With ``longest_only``, of
+    occurrences that begin at the same word only the longest is returned.
     """
     term = F.lower(F.col(terms.columns[0]))
     listed = (
@@ -64,7 +72,7 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
         .where("phrase <> ''").distinct()
         .withColumn("words", F.expr(f"size(regexp_extract_all(phrase, {_WORD}, 0))"))
     )
-    sizes = listed.agg(F.sort_array(F.collect_set("words"))).first()[0]
+    n_terms, sizes = listed.agg(F.count("*"), F.sort_array(F.collect_set("words"))).first()
     lengths = f"CAST(array({', '.join(map(str, sizes))}) AS ARRAY<INT>)"
 
     ends = running("zip_with(v_w, slice(v_g, 1, size(v_w)), (v_m, v_s) -> length(v_s) + length(v_m))",
@@ -78,10 +86,18 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
     x = "v_text"
     found = let("v_text", valid_utf8(ident(text_col)), let("v_w", f"regexp_extract_all({x}, {_WORD}, 0)", let(
         "v_g", f"split({x}, {_WORD}, -1)", let("v_ends", ends, rows))))
+    texts = df.where(F.col(text_col).isNotNull())
+    if n_terms > few:
+        table = bloom.build(listed.select(F.xxhash64("phrase").alias("h")))
+        hashed = computed_once(texts.select(key, F.expr(found).alias("_mw_found")), "_mw_maybe", bloom.maybe_each(
+            df.sparkSession, F.expr("transform(_mw_found, p -> xxhash64(p.phrase))"), table))
+        found = "filter(_mw_found, (p, i) -> get(_mw_maybe, i))"
+        texts = hashed
+    met = texts.select(key, F.expr(f"inline({found})")).join(listed, "phrase")
+    if longest_only:
+        met = met.groupBy(key, "start").agg(F.max("len").alias("len"))
     return (
-        df.where(F.col(text_col).isNotNull()).select(key, F.expr(f"inline({found})"))
-        .join(listed, "phrase")
-        .select(key, F.lit(entity).alias("entity_type"), "start",
+        met.select(key, F.lit(entity).alias("entity_type"), "start",
                 (F.col("start") + F.col("len")).alias("end"), F.lit(float(score)).alias("score"))
     )
 

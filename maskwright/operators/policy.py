@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.functions.expr import free_for, lit
+from maskwright.functions.expr import computed_once, free_for, lit
 from maskwright.operators.detect import rule_plan
 from maskwright.operators.report import findings
 from maskwright.operators.redact import apply_replacements
 from maskwright.operators.resolve import resolved_spans
-from maskwright.plans.sanitize import Rules, computed_once, with_candidates
+from maskwright.plans.sanitize import Rules, with_candidates
 from maskwright.rules import ALWAYS_ON, PROFILES, RuleSet
 
 def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies: DataFrame,

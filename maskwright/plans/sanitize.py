@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.functions.expr import empty_array, free_for, ident, let, valid_utf8
+from maskwright.functions.expr import computed_once, empty_array, free_for, ident, let, valid_utf8
 from maskwright.operators import detect, many_rules
 from maskwright.operators.redact import apply_replacements, spliced
 from maskwright.operators.report import report
@@ -16,15 +16,6 @@ from maskwright.rules import Detector, Rule, RuleSet
 Rules = RuleSet | Iterable[Rule | Detector | many_rules.RuleTable] | None
 
 
-def computed_once(df: DataFrame, name: str, sql: str | Column) -> DataFrame:
-    """Add a costly column that is computed once per row, whatever is done with it later.
-
-    A filter on a projected column is pushed down by copying the column's expression. A generator's
-    output is never copied, while filters on other columns still move below it.
-    """
-    return free_for(df, name).select("*", F.explode(F.array(F.expr(sql) if isinstance(sql, str) else sql)).alias(name))
-
-
 def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float, external: str | None,
               on_invalid: str = "replace", allowed: str | None = None) -> tuple[DataFrame, str, list[str]]:
     """The inputs of the candidate expression as helper columns, the expression, and their names.

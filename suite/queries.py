@@ -314,6 +314,23 @@ def dictionary_persons_masked(spark, sf_dir):
     return mw.sanitize(with_found, "text", external="external").select("id", "clean_text")
 
 
+_CALLS = """SELECT o_orderkey AS id, 'call CUSTOMER#' || lpad(CAST(o_custkey AS STRING), 9, '0') || ' or Customer#' || lpad(CAST(o_orderkey AS STRING), 9, '0')
+    || ' on supplier#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS text FROM orders"""
+
+
+@query("dictionary_many_names", """
+    WITH t AS (SELECT o_orderkey AS id, 'customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS a, 'customer#' || lpad(CAST(o_orderkey AS STRING), 9, '0') AS b,
+                   'supplier#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS c FROM orders),
+         n AS (SELECT lower(c_name) AS n FROM customer UNION SELECT lower(s_name) FROM supplier),
+         f AS (SELECT id, a AS x, 5 AS span_start FROM t UNION ALL SELECT id, b, 27 FROM t UNION ALL SELECT id, c, 49 FROM t)
+    SELECT id, CAST(span_start AS BIGINT) AS span_start, CAST(span_start + length(x) AS BIGINT) AS span_end FROM f JOIN n ON x = n""")
+def dictionary_many_names(spark, sf_dir):
+    """All customers and suppliers by name; phrases meet the names behind a Bloom filter."""
+    names = table(spark, sf_dir, "customer").select("c_name").unionAll(table(spark, sf_dir, "supplier").select("s_name"))
+    found = external.dictionary_entities(source(spark, sf_dir, _CALLS), "id", "text", names, "PERSON", few=0)
+    return found.select("id", F.col("start").cast("bigint").alias("span_start"), F.col("end").cast("bigint").alias("span_end"))
+
+
 # ------------------------------------------------------------------ reports
 _KEPT = oracle.kept(CORPUS, RULES)
 

@@ -15,7 +15,7 @@ from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules,
 from maskwright.sources.patterns import read_patterns
 from maskwright.sources.scratch import shared_folder
 from maskwright.sources.text import spread
-from maskwright.streaming import watch
+from maskwright.streaming import watch, write_back
 from suite import oracle, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -535,3 +535,30 @@ def stream_stateless(spark, sf_dir):
     stream = mw.sanitize(_event_stream(spark, sf_dir), "text", _EVENT_RULES).select("session", "seq", "clean_text")
     watch.start_watch(stream, f"{out}/data", f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/data").select("session", "seq", "clean_text")
+
+
+_BY_DAY = """SELECT CAST(day AS VARCHAR) AS day, label, count(*) AS n FROM (
+    SELECT CAST(ts AS DATE) AS day, CASE WHEN text LIKE 'ip 10.%' THEN 'ipv4_address' ELSE 'password' END AS label
+    FROM (SELECT ts, CASE event_id % 4 WHEN 0 THEN 'password=secret' || CAST(user_id AS STRING) WHEN 1 THEN 'ip 10.0.0.' || CAST(user_id % 256 AS STRING)
+          WHEN 2 THEN event_type ELSE 'pwd=x' END AS text FROM events) WHERE text LIKE 'ip 10.%' OR text LIKE 'p%wd=%' OR text LIKE 'password=%') GROUP BY ALL"""
+
+
+def _timed_events(df: DataFrame) -> DataFrame:
+    return df.select(F.col("ts").cast("timestamp").alias("ts"), F.expr("""CASE event_id % 4 WHEN 0 THEN 'password=secret' || user_id
+        WHEN 1 THEN 'ip 10.0.0.' || (user_id % 256) WHEN 2 THEN event_type ELSE 'pwd=x' END""").alias("text"))
+
+
+@query("masked_by_day", _BY_DAY)
+def masked_by_day(spark, sf_dir):
+    """Masked values by day of the event and label."""
+    counted = write_back.masked_by_window(_timed_events(table(spark, sf_dir, "events")), "ts", "text", _EVENT_RULES)
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "label", "n")
+
+
+@query("stream_write_back", f"SELECT session, seq, {_CLEAN_EVENT} AS clean_text FROM ({texts.EVENT_TEXTS})")
+def stream_write_back(spark, sf_dir):
+    """The event table as a stream, written batch by batch with a ledger."""
+    out = shared_folder(spark, "stream")
+    stream = mw.sanitize(_event_stream(spark, sf_dir), "text", _EVENT_RULES).select("session", "seq", "clean_text")
+    write_back.start_write_back(stream, out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    return write_back.written(spark, out).select("session", "seq", "clean_text")

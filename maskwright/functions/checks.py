@@ -29,4 +29,17 @@ def at_sign(s: str) -> str:
     return f"contains({s}, '@')"
 
 
-CHECKS = {"luhn": luhn, "mod97": mod97, "ssn": ssn, "at_sign": at_sign}
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def ipv6(s: str) -> str:
+    """Eight groups, or one :: for one or more of them; the last two may be written as an IPv4 address."""
+    plain = f"regexp_replace({s}, ':{_OCTET}(?:[.]{_OCTET}){{3}}$', ':0:0')"
+    halves = "size(split(v_y, '::', -1))"
+    groups = "size(filter(split(v_y, ':', -1), v_g -> v_g <> ''))"
+    open_start, open_end = ("startswith(v_y, ':') AND NOT startswith(v_y, '::')", "endswith(v_y, ':') AND NOT endswith(v_y, '::')")
+    return (f"element_at(transform(array({plain}), v_y -> NOT contains(v_y, '.') AND NOT contains(v_y, ':::') AND NOT ({open_start}) AND NOT ({open_end})"
+            f" AND CASE {halves} WHEN 1 THEN {groups} = 8 WHEN 2 THEN {groups} <= 7 ELSE false END), 1)")
+
+
+CHECKS = {"ipv6": ipv6, "luhn": luhn, "mod97": mod97, "ssn": ssn, "at_sign": at_sign}

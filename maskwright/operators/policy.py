@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from maskwright.functions.expr import computed_once, free_for, lit
+from maskwright.functions.keyed import hmac_sha256
 from maskwright.operators.detect import rule_plan
 from maskwright.operators.report import findings
 from maskwright.operators.redact import apply_replacements
@@ -46,6 +47,38 @@ def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies:
             .withColumn("clean_text", apply_replacements(text_col)))
 
 
-def audit_log(df: DataFrame, keys: list[str], spans_col: str = "spans") -> DataFrame:
-    """What was masked where, with a hash instead of the value: fit to append to a log table."""
-    return findings(df, keys, spans_col, hash_original=True)
+def audit_log(df: DataFrame, keys: list[str], spans_col: str = "spans", key: bytes | None = None) -> DataFrame:
+    """What was masked where, with a hash instead of the value: fit to append to a log table.
+
+    With a ``key`` the hash is an HMAC (``original_hmac``). Without it it is a plain SHA-256 (``original_sha256``), from which values with
+    few possibilities, such as phone numbers, can be found by trying: then the log is as secret as the values.
+    """
+    if key is None:
+        return findings(df, keys, spans_col, hash_original=True)
+    return findings(df, keys, spans_col).select(*keys, "start", "end", hmac_sha256(F.col("original"), key).alias("original_hmac"),
+                                                "replacement", "category", "label", "confidence")
+
+
+_DIGITS = 4  # hex digits of a row's hash that name its bucket
+
+
+def audit_buckets(log: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., bucket, n, digest): rows of a log by the first digits of their hashes, each bucket with a digest of its sorted hashes.
+
+    Rows are hashed in place, so 65,536 buckets share the rows of a batch evenly, whatever they hold. Of two logs that should be equal, the buckets that
+    differ tell where a row is missing, added or changed.
+    """
+    columns = sorted(c for c in log.columns if c not in by)
+    leaf = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    hashed = log.select(*by, leaf.alias("leaf")).withColumn("bucket", F.substring("leaf", 1, _DIGITS))
+    return hashed.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("digest"))
+
+
+def audit_roots(buckets: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., n, root): one digest per batch over all its rows, from the digests of its buckets, by way of 256 groups of them."""
+    def combined(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        listed = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", F.col("n").cast("string"), "digest"))), ",")
+        return rows.groupBy(*by, *keys).agg(F.sum("n").alias("n"), F.sha2(listed, 256).alias(name))
+
+    groups = combined(buckets.withColumn("group", F.substring("bucket", 1, _DIGITS // 2)), ["group"], "digest")
+    return combined(groups.withColumnRenamed("group", "bucket"), [], "root")

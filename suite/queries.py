@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import maskwright as mw
 from maskwright.operators import external, large_text, policy, redact, report, resolve_table
-from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile
+from maskwright.rules import PROFILES, ALWAYS_ON, Detector, Rule, default_rules, profiles_dataframe, rules_for_profile, strict_ipv6 as strict_rules
 from maskwright.sources.patterns import read_patterns
 from maskwright.sources.scratch import shared_folder
 from maskwright.sources.text import spread
@@ -219,6 +219,17 @@ def custom_rules_many(spark, sf_dir):
     return out.select("id", "clean_text", F.col("report.total_matches").cast("int").alias("total_matches"))
 
 
+_V6 = """SELECT o_orderkey AS id, 'at 14:32:' || lpad(CAST(o_orderkey % 60 AS STRING), 2, '0') || ' from 2001:db8::' || CAST(o_orderkey % 10000 AS STRING)
+    || ', ::ffff:10.0.' || CAST(o_custkey % 256 AS STRING) || '.1 and fe80:0:0:0:1:2:3:4:5, a::b::c or ' || substr(md5(CAST(o_orderkey AS STRING)), 1, 4) || ':1:2:3:4:5:6:7' AS text FROM orders"""
+
+
+@query("strict_ipv6", """SELECT o_orderkey AS id, 'at 14:32:' || lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')
+    || ' from [IP_ADDRESS], [IP_ADDRESS] and fe80:0:0:0:1:2:3:4:5, a::b::c or [IP_ADDRESS]' AS clean_text FROM orders""")
+def strict_ipv6(spark, sf_dir):
+    """Only whole, valid IPv6 addresses; clock times stay."""
+    return mw.sanitize(source(spark, sf_dir, _V6), "text", strict_rules(rules_for_profile("network", pii=False))).select("id", "clean_text")
+
+
 @query("resolved_findings", oracle.with_recursive(
     oracle.kept(CORPUS, RULES),
     select="SELECT id, s AS span_start, e AS span_end, txt AS original, lab AS label FROM kept"))
@@ -468,6 +479,19 @@ def audit_log(spark, sf_dir):
         {"start": "span_start", "end": "span_end"})
 
 
+#: A key for checking; it stands in the plan. Pads of its block for the SQL.
+_KEY = b"a key for checks"
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query("audit_log_keyed", oracle.with_recursive(
+    _KEPT, select=f"""SELECT id, s AS span_start, e AS span_end, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(txt)))) AS original_hmac,
+    rep AS replacement, cat AS category, lab AS label, conf AS confidence FROM kept"""))
+def audit_log_keyed(spark, sf_dir):
+    return policy.audit_log(mw.with_spans(corpus(spark, sf_dir), "text"), ["id"], key=_KEY).withColumnsRenamed(
+        {"start": "span_start", "end": "span_end"})
+
+
 # ------------------------------------------------------------------ change detection
 _CLEAN_EVENT = """CASE WHEN text LIKE 'password=secret%' OR text = 'password=[IP_ADDRESS]' THEN '[REDACTED]'
     WHEN text = 'password=10.0.0.1' THEN 'password=[IP_ADDRESS]' WHEN text LIKE 'ip 10.%' THEN 'ip [IP_ADDRESS]' ELSE text END"""

@@ -1,5 +1,6 @@
 """A plain-Python statement of what the Spark expressions must compute."""
 
+import ipaddress
 import re
 
 from maskwright.rules import Rule
@@ -18,7 +19,14 @@ def _ssn(s):
     return s[:3] not in ("000", "666") and s[0] != "9"
 
 
-CHECKS = {"at_sign": lambda s: True, "luhn": _luhn, "mod97": _mod97, "ssn": _ssn, None: lambda s: True}
+def _ipv6(s):
+    try:
+        return ipaddress.IPv6Address(s) is not None
+    except ValueError:
+        return False
+
+
+CHECKS = {"ipv6": _ipv6, "at_sign": lambda s: True, "luhn": _luhn, "mod97": _mod97, "ssn": _ssn, None: lambda s: True}
 
 
 def candidates(text, rules: list[Rule], min_confidence=0.0):

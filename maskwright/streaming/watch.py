@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from maskwright.functions.expr import free_for, ident, valid_utf8
 from maskwright.operators.redact import apply_replacements
@@ -62,6 +63,59 @@ def watch_stream(df: DataFrame, key: str, seq: str, text_col: str, rules: Rules
     return masked.groupBy(key).applyInPandasWithState(step, out_schema, "last STRING", "append", "NoTimeout")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _Watcher(StatefulProcessor):
+    """The last text of a session, on disk, which leaves the state when nothing came for ``idle`` milliseconds."""
+
+    def __init__(self, columns: list[str], text_col: str, idle: int | None):
+        self.columns, self.text_col, self.idle = columns, text_col, idle
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "last STRING", self.idle)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        frames = [f for f in rows if len(f)]
+        if not frames:  # a session that is only in the initial state
+            return
+        last = self.last.get()[0] if self.last.exists() else ""
+        events = pd.concat(frames).sort_values(self.columns[1], kind="stable")
+        changed = []
+        for text, clean in zip(events["mw_now"], events["clean_text"]):
+            new = bool(text) and text != last
+            changed.append(new and clean != text)
+            last = clean if new else text
+        self.last.update((last,))
+        yield events[changed][[*self.columns, "mw_now", "clean_text", "total_matches"]].rename(columns={"mw_now": self.text_col})
+
+    def handleInitialState(self, key, initial, timer_values) -> None:
+        self.last.update((initial["last"].iloc[0] or "",))
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream_idle(df: DataFrame, key: str, seq: str, text_col: str, rules: Rules = None, idle_ms: int | None = None,
+                      initial: DataFrame | None = None) -> DataFrame:
+    """``watch_stream`` with state in RocksDB that ends: a session idle for ``idle_ms`` is forgotten, and its next text counts as new.
+
+    ``initial`` is a table ``(key, last)`` of what sessions held before the stream began, one row each: the ``clean_text`` of their last event
+    in ``watch_table``. The state store must be ``ROCKSDB``, set in the session before the stream starts. With ``idle_ms`` there is always a next
+    micro-batch to look for state that ended, so run it polled; ``available_now`` would not come to an end.
+    """
+    spark, types = df.sparkSession, dict(df.dtypes)
+    if spark.conf.get(_STORE) != ROCKSDB:
+        raise ValueError(f"set {_STORE} to {ROCKSDB}")
+    out_schema = (f"`{key}` {types[key]}, `{seq}` {types[seq]}, `{text_col}` STRING, clean_text STRING,"
+                  " total_matches BIGINT")
+    masked = _masked(df, text_col, rules).select(key, seq, F.col("_now").alias("mw_now"), "clean_text", "total_matches")
+    before = initial.select(key, F.coalesce("last", F.lit("")).alias("last")).groupBy(key) if initial is not None else None
+    return masked.groupBy(key).transformWithStateInPandas(
+        _Watcher([key, seq], text_col, idle_ms), out_schema, "append", "processingTime" if idle_ms else "none", initialState=before)
+
+
 def start_watch(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Write masked texts as they come. The file sink commits each micro-batch once, so a failed write
     is retried from the checkpoint without duplicates."""

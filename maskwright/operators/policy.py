@@ -39,11 +39,14 @@ def sanitize_by_policy(df: DataFrame, text_col: str, source_col: str, policies:
     table = ", ".join(f"named_struct('k', {k}, 'conf', {float(r.confidence)!r}D, 'cat', {lit(r.category)})"
                       for k, (_, r) in enumerate(jvm, 1))
     open_to = f"transform(filter(array({table}), v_r -> {permits('v_r.conf', 'v_r.cat')}), v_r -> v_r.k)" if jvm else None
+    if open_to:  # once per policy, not per text
+        named = named.withColumn("_mw_allowed", F.expr(open_to))
+        open_to = f"coalesce(_mw_allowed, sequence(1, {len(jvm)}))"
     joined = df.join(named, F.col(source_col) == F.col("_mw_source"), "left").drop("_mw_source")
     found = with_candidates(joined, text_col, rules, into="_mw_candidates", allowed=open_to)
     keep = f"filter(_mw_candidates, v_c -> {permits('-v_c.nc', 'v_c.cat')})"
     return (computed_once(found, "spans", resolved_spans(keep))
-            .drop("_mw_candidates", "_mw_profile", "_mw_floor")
+            .drop("_mw_candidates", "_mw_profile", "_mw_floor", "_mw_allowed")
             .withColumn("clean_text", apply_replacements(text_col)))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from maskwright.llm.common import handed_back
+
 Span = tuple[int, int, int]  # start, number of the kind, end: in code points, end exclusive
 
 

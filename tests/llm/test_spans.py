@@ -7,6 +7,7 @@ import re
 import pytest
 
 from maskwright.llm import pii, secrets
+from maskwright.llm.queries import QUERIES
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -146,3 +147,11 @@ def test_upper_case_hexadecimal_keys(size):
         assert find(f"signing key: {key}")[1] == [(13, 3, 13 + size)], (size, seed)
     for clean in ["configure_server2_" * 20, "A1" * 300, "x" * 200 + "1"]:
         assert find(f"signing key: {clean}")[1] == [], clean
+
+
+def test_op6_reads_whole_texts(spark, tmp_path):
+    """The query itself runs, over null, empty and repeated rows."""
+    rows = [(1, "password: hunter22"), (2, None), (3, ""), (1, "password: hunter22"), (None, "AKIA" + "A" * 16)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in QUERIES["op6_zstd_secrets"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()), key=repr)
+    assert got == sorted([(1, 1, 0, 0)] * 2 + [(2, 0, 0, 0), (3, 0, 0, 0), (None, 0, 1, 0)], key=repr)

@@ -155,3 +155,11 @@ def test_op6_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((tuple(r) for r in QUERIES["op6_zstd_secrets"](spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()), key=repr)
     assert got == sorted([(1, 1, 0, 0)] * 2 + [(2, 0, 0, 0), (3, 0, 0, 0), (None, 0, 1, 0)], key=repr)
+
+
+def test_op9_reads_whole_texts(spark, tmp_path):
+    """The query itself runs, over null, empty and repeated rows."""
+    rows = [(1, "mail a.b@c.de"), (2, None), (3, ""), (1, "mail a.b@c.de"), (None, "10.0.0.1 10.0.0.2")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((tuple(r) for r in QUERIES["op9_semicrf_pii"](spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone").collect()), key=repr)
+    assert got == sorted([(1, 1, 0, 0, 0)] * 2 + [(2, 0, 0, 0, 0), (3, 0, 0, 0, 0), (None, 0, 2, 0, 0)], key=repr)

@@ -5,6 +5,8 @@ a running maximum of ends; blocks are independent, so they go to tasks on their
 are kept where they overlap nothing kept before, which one pass with a sorted list of kept spans tells.
 
 No text is ever in one task: the running maximum is taken per stretch of ``width`` places, and only one row per stretch is scanned per text.
+Findings are written once to the shared folder, as their places are read twice. In a text none of whose findings leaves its stretch, the
+stretches are the blocks, and no maximum is needed.
 Within a block a task holds the spans it keeps, which are disjoint; the findings themselves stream through in sort order.
 """
 
@@ -12,12 +14,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from maskwright.functions.expr import free_for
+from maskwright.sources.scratch import shared_folder
 
 WIDTH = 100_000  # places (characters) per stretch
 
@@ -105,7 +110,15 @@ def resolve_findings(findings: DataFrame, keys: Sequence[str], rank: str | None
     columns = list(findings.columns)
     usable = free_for(findings, "block").where("start IS NOT NULL AND end IS NOT NULL AND confidence IS NOT NULL AND end >= start")
     rest = [c for c in columns if c not in (*keys, "start", "end")]
-    rows = with_blocks(usable, keys, width).select(*keys, "block", "start", "end", *rest)
+    usable = usable.withColumn("block", F.floor(F.col("start") / width) * width).select(*keys, "block", "start", "end", *rest)
+    path = shared_folder(findings.sparkSession, "findings")
+    usable.write.parquet(path)
+    rows = findings.sparkSession.read.schema(usable.schema).parquet(path)
+    crossed = rows.where(F.col("end") > F.col("block") + width).select(*[F.col(k).alias(f"_mw_key_{i}") for i, k in enumerate(keys)]).distinct()
+    if not crossed.isEmpty():
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_mw_key_{i}")) for i, k in enumerate(keys)])
+        cut = with_blocks(rows.join(crossed, same, "left_semi").drop("block"), keys, width).select(*rows.columns)
+        rows = rows.join(crossed, same, "left_anti").unionAll(cut)
     ties = [rank] if rank else [c for c in rest if c != "confidence" and findings.schema[c].dataType.typeName() not in ("map", "variant")]
     order = [F.desc("confidence"), F.asc("start"), F.desc("end"), *ties]
     tasks = rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block", *order)

@@ -8,6 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import model
+from maskwright.functions.expr import computed_once
 from maskwright.operators.resolve_table import _Kept, resolve_findings, with_blocks
 
 SCHEMA = "doc STRING, start INT, end INT, confidence DOUBLE, label STRING, rank INT"
@@ -72,3 +73,17 @@ def test_findings_that_are_none(spark):
     assert resolve_findings(spark.createDataFrame([], SCHEMA), ["doc"]).count() == 0
     with pytest.raises(ValueError, match="block"):
         resolve_findings(spark.createDataFrame(rows, SCHEMA).withColumn("BLOCK", F.lit(1)), ["doc"])
+
+
+def test_findings_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        made.add(1)
+        return x
+
+    df = computed_once(spark.range(300), "start", counted((F.col("id") * 5).cast("int"))).select(
+        (F.col("id") % 7).alias("doc"), "start", F.lit(0.5).alias("confidence"), F.col("id").alias("rank"))
+    found = df.withColumn("end", F.col("start") + 3)
+    assert resolve_findings(found, ["doc"], "rank", 1000).count() == 300 and made.value == 300

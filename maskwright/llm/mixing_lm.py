@@ -7,9 +7,10 @@ by the longest context that has been seen and how often. The mixed probability i
 bits of the byte so far, to what was observed. Score: log10 of the probability of the whole text.
 
 Counts come from all training texts: tasks count distinct byte windows, and one task per bucket of contexts adds them up. Weights
-and map are learned online, in one stream, on a bounded sample of training texts that is counted only afterwards: the
-``SAMPLE_DOCS`` texts with the lowest hash of id and text, among those of at most ``SAMPLE_BYTES`` bytes. All texts are then scored under
-frozen statistics, so results do not depend on how rows are spread. A window's cost is computed once per task while it is held.
+and map are learned online from all training texts too, in one stream per bucket: every distinct window is predicted from the counts
+without one occurrence of it, and counts as often as it occurs. The streams' weights and maps are then averaged, each set of weights and
+each cell by how often it was used. All texts are scored under frozen statistics, so results do not depend on how rows are spread. A
+window's cost is computed once per task while it is held.
 
 The base score is that of single words: log10((c + 1) / (N + V + 1)) summed over the words and one end. Words are counted as
 64-bit hashes. The most frequent ones, ``TOP`` at most, are broadcast; the others of each text are sent to their counts, and only
@@ -30,15 +31,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from maskwright.llm.common import handed_back, pieces, sample_by_hash, send, staged, text_buffer, text_or_empty
+from maskwright.llm.common import done_with, handed_back, pieces, release_memory, send, staged, text_buffer, text_or_empty
 from maskwright.llm.shingles import mix, word_hashes
 
 ORDER = 5
 MARK = 255  # pads the beginning and ends a text; no byte of UTF-8
 BUCKETS = 64  # of contexts, by their last two bytes
 SLOT_BITS = 18  # slots of a bucket: 2**24 slots in all, of two bytes when broadcast
-SAMPLE_DOCS = 256
-SAMPLE_BYTES = 16_384
+PARTS = 16  # of a bucket's windows, learned from one after the other
 TOP = 1 << 20
 PIECE = 1 << 20  # bytes scored or counted at once
 HELD = 2_000_000  # windows, or words, held by a task
@@ -128,7 +128,6 @@ def _count(buckets: int):
         for b in pieces(frames, "text", 4 << 20):
             data, offsets = text_buffer(b.column(0))
             yield from add(0, word_hashes(data, offsets)[0])
-            data, offsets = text_buffer(b.column(0).filter(b.column(1)))
             buffer, starts = stream(data, offsets)
             for a in range(0, len(buffer), PIECE):
                 end = min(len(buffer), a + PIECE)
@@ -151,7 +150,13 @@ def _add_windows(table: np.ndarray, low: np.ndarray, key: np.ndarray, n: np.ndar
 
 
 def _sum_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets come whole. Words: sorted with their counts. Windows: the bucket's slots, and its part of the low orders."""
+    """Buckets come whole. Words: sorted with their counts. Windows: the bucket's slots and its part of the low orders, and (kind 2) the distinct ones by part."""
+    names = ["kind", "bucket", "part", "keys", "counts"]
+
+    def rows(kind, bucket, parts, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(parts), pa.int32()), pa.array([bucket] * len(parts), pa.int32()), pa.array(parts, pa.int32()),
+                                           pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=names)
+
     def done(kind, bucket, held, table, low):
         if kind == 0:
             key = np.concatenate([np.frombuffer(k, "<u8") for k, _ in held])
@@ -161,13 +166,19 @@ def _sum_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, counts = key[order].astype("<u8").tobytes(), n[order].tobytes()
         else:
             keys, counts = _shrink(table).tobytes(), low.astype("<f8").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([keys], pa.binary()), pa.array([counts], pa.binary())],
-                                          names=["kind", "bucket", "keys", "counts"])
+        return rows(kind, bucket, [0], [keys], [counts])
+
     def add(bucket, held, table, low):
         codes, key = pd.factorize(np.concatenate([np.frombuffer(k, "<u8") for k, _ in held]))
         n = np.bincount(codes, weights=np.concatenate([np.frombuffer(c, "<u4") for _, c in held]))
         _add_windows(table, low, key, n, bucket << SLOT_BITS)
         held.clear()
+        part = _part(key)
+        order = np.lexsort((key, part))
+        part, key, n = part[order], key[order], n[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        ends = [*cuts[1:], len(part)]
+        return rows(2, bucket, part[cuts], [key[a:b].astype("<u8").tobytes() for a, b in zip(cuts, ends)], [n[a:b].astype("<f8").tobytes() for a, b in zip(cuts, ends)])
 
     now, held, size, table, low = None, [], 0, None, None
     for b in frames:
@@ -175,7 +186,7 @@ def _sum_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (kind, bucket) != now:
                 if now is not None:
                     if now[0] == 1:
-                        add(now[1], held, table, low)
+                        yield add(now[1], held, table, low)
                     yield done(*now, held, table, low)
                 now, held, size = (kind, bucket), [], 0
                 if kind == 1:
@@ -183,14 +194,18 @@ def _sum_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((keys, counts))
             size += len(keys) // 8
             if kind == 1 and size > HELD:  # sums of windows need not wait for the others
-                add(bucket, held, table, low)
+                yield add(bucket, held, table, low)
                 held, size = [(b"", b"")], 0
     if now is not None:
         if now[0] == 1:
-            add(now[1], held, table, low)
+            yield add(now[1], held, table, low)
         yield done(*now, held, table, low)
 
 
+def _part(key: np.ndarray) -> np.ndarray:
+    return (mix(key ^ _U(_ODD)) & _U(PARTS - 1)).astype(np.int64)
+
+
 def _shrink(counts: np.ndarray) -> np.ndarray:
     """Counts in 16 bits; where they are too large, in proportion."""
     top = counts.max(axis=1, keepdims=True)
@@ -222,10 +237,14 @@ class Mixer:
         self.weights[:, -1] = 0.0
         self.energy = np.full_like(self.weights, 1e-2)
         self.map = np.tile(_squash(np.linspace(-8, 8, self.STEPS)), (256, 1))
+        self.used, self.used_cells = np.zeros(self.GATES), np.zeros(self.map.size)  # how often, in learning
 
     def inputs(self, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Stretched probabilities of all orders and a bias; and the gate."""
-        found = [self.low.take(slots[0]), self.low.take(slots[1] + 256), *[self.table.take(s) for s in slots[2:]]]
+        return self._features([self.low.take(slots[0]), self.low.take(slots[1] + 256), *[self.table.take(s) for s in slots[2:]]])
+
+    @staticmethod
+    def _features(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         x = np.empty((len(found[0]), ORDER + 2), np.float32)
         gate = np.zeros(len(found[0]), np.int64)
         for k, f in enumerate(found):
@@ -250,24 +269,45 @@ class Mixer:
         """Of a one."""
         return np.clip((_squash(stretched) + self._refined(stretched, node)[0]) / 2, 1 / 65536, 1 - 1 / 65536)
 
-    def learn(self, key: np.ndarray, step: int = 512, rate: float = 0.05, map_rate: float = 0.02) -> None:
-        """One pass over windows in their order, in small steps: predict, then adapt."""
+    def learn(self, key: np.ndarray, n: np.ndarray | None = None, inputs=None, step: int = 512, rate: float = 0.05, map_rate: float = 0.02) -> None:
+        """One pass over windows in their order, in small steps: predict, then adapt. ``n`` is how often each window counts.
+
+        ``inputs`` gives stretched probabilities and gates from (bits, slots), in place of the model's tables.
+        """
+        n = np.ones(len(key)) if n is None else n
         for a in range(0, len(key), step):
+            times = n[a : a + step]
             for _, bit, node, slots in places(key[a : a + step]):
-                x, gate = self.inputs(slots)
+                x, gate = inputs(bit, slots) if inputs else self.inputs(slots)
                 s = self.mixed(x, gate)
-                error = bit - _squash(s)
-                slope = np.zeros_like(self.weights)
-                np.add.at(slope, gate, error[:, None] * x)
-                slope /= np.maximum(np.bincount(gate, minlength=self.GATES), 1)[:, None]
+                error = (bit - _squash(s)) * times
+                slope = np.stack([np.bincount(gate, weights=error * x[:, k], minlength=self.GATES) for k in range(ORDER + 2)], axis=1)
+                mass = np.bincount(gate, weights=times, minlength=self.GATES)
+                slope /= np.maximum(mass, 1)[:, None]
+                self.used += mass
                 self.energy += slope * slope
                 self.weights += rate * slope / np.sqrt(self.energy)
                 _, flat, part = self._refined(s, node)
+                cells, at = np.unique(np.concatenate([flat, flat + 1]), return_inverse=True)
+                share = np.concatenate([(1 - part) * times, part * times])
+                mass = np.bincount(at, weights=share)
+                hits = np.bincount(at, weights=share * np.concatenate([bit, bit]))
                 values = self.map.reshape(-1)
-                for cell, share in ((flat, 1 - part), (flat + 1, part)):
-                    np.add.at(values, cell, map_rate * share * (bit - values[cell]))
+                values[cells] += (1 - (1 - map_rate) ** mass) * (hits / np.maximum(mass, 1e-12) - values[cells])
+                self.used_cells[cells] += mass
                 np.clip(values, 1e-5, 1 - 1e-5, out=values)
 
+    def average(self, learned: list[tuple[np.ndarray, ...]]) -> None:
+        """Take the mean of models (weights, how often used, map, how often its cells), each part by its use; what none used stays."""
+        for name, k in (("weights", 0), ("map", 2)):
+            own = getattr(self, name)
+            total, use = np.zeros(own.size), np.zeros(own.size)
+            for parts in learned:
+                weight = np.repeat(parts[k + 1], own.size // parts[k + 1].size)
+                total += parts[k] * weight
+                use += weight
+            setattr(self, name, np.where(use > 0, total / np.maximum(use, 1e-300), own.reshape(-1)).reshape(own.shape))
+
     def cost(self, key: np.ndarray) -> np.ndarray:
         """log10 of the probability of each window's last byte after the others."""
         out = np.empty(len(key))
@@ -309,6 +349,65 @@ class Mixer:
         return out
 
 
+def _sum_low(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in frames:
+        for counts in b.column(0):
+            part = np.frombuffer(counts.as_buffer(), "<f8")
+            total = part.copy() if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+
+
+def _left_out(low: np.ndarray, table: np.ndarray, base: int):
+    """Inputs of windows from the counts without one occurrence of each."""
+    def inputs(bit: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        found, rows = [], np.arange(len(bit))
+        for k, s in enumerate(slots):
+            counts = (low[s + 256 * k] if k < 2 else table[s - base]).astype(np.float64)
+            counts[rows, bit] = np.maximum(counts[rows, bit] - 1, 0)
+            found.append(_signals(counts))
+        return Mixer._features(found)
+    return inputs
+
+
+_LEARNED = ("signals", "weights", "used", "map", "used_cells")
+
+
+def _learn(shared):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets come whole: the counts of their slots, then their windows by part. A model learned from those, and the slots' signals."""
+        def learn(bucket, model, table, held):
+            codes, key = pd.factorize(np.concatenate([np.frombuffer(k, "<u8") for k, _ in held]))
+            n = np.bincount(codes, weights=np.concatenate([np.frombuffer(c, "<f8") for _, c in held]))
+            order = np.argsort(mix(key))
+            model.learn(key[order], n[order], _left_out(shared.value, table, bucket << SLOT_BITS))
+
+        def done(bucket, model, table):
+            values = (_signals(table), *(getattr(model, name).astype("<f8") for name in _LEARNED[1:]))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in values]], names=["bucket", *_LEARNED])
+
+        now, model, table, held = None, None, None, []
+        for b in frames:
+            for kind, bucket, part, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+                if (bucket, kind, part) != now:
+                    if held:
+                        learn(now[0], model, table, held)
+                        held = []
+                    if kind == 1:
+                        if now is not None:
+                            yield done(now[0], model, table)
+                        model, table = Mixer(None, None), np.frombuffer(keys, "<u2").reshape(-1, 2)
+                    now = (bucket, kind, part)
+                if kind == 2:
+                    held.append((keys, counts))
+        if held:
+            learn(now[0], model, table, held)
+        if now is not None:
+            yield done(now[0], model, table)
+    return run
+
+
 # ------------------------------------------------------------------ words
 def _find(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted value is, or would be, in sorted values; wanted in order, as that is several times faster."""
@@ -422,41 +521,31 @@ def score(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_i
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
-    train = rows.where("learn").select("text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    train = rows.where("learn").select("text")
     size = train.agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
     buckets = 1 << max(3, math.ceil(math.log2(max(1, (size.bytes or 0) / WORD_BUCKET_BYTES))))
 
-    small = train.where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = sample_by_hash(small.select("h", "text"), "h", SAMPLE_DOCS).collect()
-    apart = F.lit(False)
-    if sample:
-        apart = (F.col("h") <= sample[-1].h) & (F.octet_length("text") <= SAMPLE_BYTES)
-
-    counted = train.select("text", (~apart).alias("count")).mapInArrow(handed_back(_count(buckets)), "kind int, bucket int, keys binary, counts binary")
+    counted = train.mapInArrow(handed_back(_count(buckets)), "kind int, bucket int, keys binary, counts binary")
     counted = counted.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
-    stats = staged(counted.mapInArrow(handed_back(_sum_up), "kind int, bucket int, keys binary, counts binary"), "lm-counts")
-    table = np.zeros((BUCKETS << SLOT_BITS, 2), "<u2")
+    stats = staged(counted.mapInArrow(handed_back(_sum_up), "kind int, bucket int, part int, keys binary, counts binary"), "lm-counts")
     low = np.zeros((256 + (1 << 16), 2))
-    for bucket in range(0, BUCKETS, 8):  # the driver holds the table in 16 bits, and a few buckets at a time
-        for r in stats.where((F.col("kind") == 1) & F.col("bucket").between(bucket, bucket + 7)).collect():
-            table[r.bucket << SLOT_BITS : (r.bucket + 1) << SLOT_BITS] = np.frombuffer(r["keys"], "<u2").reshape(-1, 2)
-            low += np.frombuffer(r["counts"], "<f8").reshape(-1, 2)
-
-    texts = [r.text.encode() for r in sample]
-    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    buffer, starts = stream(data, offsets)
-    key = windows(buffer, ORDER, len(buffer))[_own(starts, ORDER, len(buffer))] if sample else np.zeros(0, np.uint64)
-    signals = np.concatenate([_signals(table[k << SLOT_BITS : (k + 1) << SLOT_BITS]) for k in range(BUCKETS)])
-    model = Mixer(_signals(low), signals)
-    model.learn(key)
-    for bucket in np.unique(bucket_of(key)):  # now the sample counts too
-        own = key[bucket_of(key) == bucket]
-        span = slice(int(bucket) << SLOT_BITS, (int(bucket) + 1) << SLOT_BITS)
-        part = table[span].astype(float)
-        _add_windows(part, low, own, np.ones(len(own)), int(bucket) << SLOT_BITS)
-        model.table[span] = _signals(part)
-    model.low = _signals(low)
-    del table
+    for r in stats.where("kind = 1").select("counts").coalesce(4).mapInArrow(handed_back(_sum_low), "counts binary").collect():
+        low += np.frombuffer(r["counts"], "<f8").reshape(-1, 2)
+
+    windows_of = stats.where("kind > 0").select("kind", "bucket", "part", "keys", F.when(F.col("kind") == 2, F.col("counts")).alias("counts"))
+    sent = send(spark, low)
+    learned = staged(windows_of.repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "kind", "part").mapInArrow(
+        handed_back(_learn(sent)), "bucket int, " + ", ".join(f"{name} binary" for name in _LEARNED)), "lm-learned")
+    model = Mixer(_signals(low), np.zeros(BUCKETS << SLOT_BITS, np.int16))
+    done_with(sent)
+    taught = []
+    for bucket in range(0, BUCKETS, 4):  # the driver holds a few buckets' rows at a time
+        for r in learned.where(F.col("bucket").between(bucket, bucket + 3)).orderBy("bucket").collect():
+            model.table[r.bucket << SLOT_BITS : (r.bucket + 1) << SLOT_BITS] = np.frombuffer(r.signals, np.int16)
+            taught.append(tuple(np.frombuffer(r[name], "<f8") for name in _LEARNED[1:]))
+    model.average(taught)
+    del taught
+    release_memory()
 
     words = stats.where("kind = 0")
     histogram = words.select("counts").mapInArrow(handed_back(_histogram), "c long, words long").groupBy("c").agg(F.sum("words").alias("words")).orderBy(F.desc("c")).collect()
@@ -473,11 +562,14 @@ def score(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_i
     top_counts = np.concatenate([np.zeros(0, "<i8"), *[np.frombuffer(r["counts"], "<i8") for r in top]])
     order = np.argsort(top_words)
     shared = send(spark, (model, top_words[order], top_counts[order]))
+    del model, top, top_words, top_counts, order
+    release_memory()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = staged(rows.select("doc_id", "held_out", F.xxhash64("text").alias("key"), "text").mapInArrow(
         handed_back(_score(shared, buckets)), f"doc_id {kind}, held_out boolean, key long, n_tokens long, known long, sum double, score double, bucket int, "
         "words binary, texts binary, counts binary"), "lm-scores")
+    done_with(shared)
     sent = scored.where("bucket is not null").select("bucket", "words", "texts", "counts")
     counts = words.select("bucket", F.col("keys").alias("words"), F.lit(None).cast("binary").alias("texts"), "counts")
     met = counts.unionByName(sent).repartition("bucket").sortWithinPartitions("bucket", F.col("texts").isNotNull())

@@ -166,3 +166,16 @@ def test_lm_edges(spark):
     assert len(got) == 4 and all(r.train_tokens == 0 and r.n_known == 0 for r in got)
     assert all(r.base_score == 0 for r in got)  # log10(1 / 1) for every token
     assert mixing_lm.score(docs.limit(0), F.lit(True), F.lit(False)).count() == 0
+
+
+def test_weights_come_from_all_training_texts(spark, monkeypatch):
+    """The learned weights see each occurrence of each byte and end of every training text, however many and long they are."""
+    seen = []
+    average = mixing_lm.Mixer.average
+    monkeypatch.setattr(mixing_lm.Mixer, "average", lambda self, learned: (seen.extend(learned), average(self, learned))[1])
+    rows = [(k, f"word{k % 50} and some more text {k}") for k in range(400)] + [(1000, "long " * 5000), (1001, None), (1002, "held out")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held_out = F.col("doc_id") == 1002
+    mixing_lm.score(docs, ~held_out, held_out)
+    coded = sum(len((t or "").encode()) + 1 for _, t in rows[:-1])
+    assert sum(used.sum() for _, used, _, _ in seen) == 8 * coded

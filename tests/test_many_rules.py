@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -63,6 +64,33 @@ def test_five_thousand_rules_equal_the_loop(spark, slice_rules):
             assert got[i] == (model.splice(text, spans), [s[5] for s in spans])
 
 
+def test_a_large_table_is_joined(spark):
+    """Rules stay on the cluster: none in the plan or in a slice, but those that need no literal; the result is that of slices."""
+    rules = some_rules(300, random.Random(3)) + [Rule("custom", "long", "a" * 70 + r"\d", "[L]", 1.0, 10), Rule("custom", "two", "abcde|fghij", "[2]", 1.0, 10)]
+    table, whole = mw.RuleTable.of(spark, rules, slice_rules=100), mw.RuleTable.of(spark, rules)
+    assert len(table) == len(whole) == len(rules) and sum(map(len, table.slices)) == 3 and table.sliced().slices[0][:5] == whole.slices[0][:5]
+    texts = ["é" + "a" * 75 + "1", "abcde and fghij", "ſ REF0001 Ref0002 job_0003 = x\u00e4", "x" * 300_000 + " ref0007 CASE0009", "ref0001" * 3, "", None, "1234567"] * 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id INT, text STRING").repartition(3)
+    one, other = (sorted((r.id, r.clean_text, [s.label for s in r.spans]) for r in mw.sanitize(df, "text", [*default_rules(), t], 0.5).collect())
+                  for t in (table, whole))
+    assert one == other and one[1][1] == "[2] and [2]" and one[0][1].endswith("[L]")
+    with pytest.raises(ValueError, match="rule_ord"):
+        mw.RuleTable.of(spark, spark.createDataFrame([(1, "aaa"), (1, "bbb")], "rule_ord LONG, pattern STRING"), slice_rules=1)
+    bad = spark.createDataFrame([(1, "aaa"), (2, "(")], "rule_ord LONG, pattern STRING")
+    assert len(mw.RuleTable.of(spark, bad, on_error="drop_all", slice_rules=1)) == 0
+    with pytest.raises(Exception, match="unterminated"):
+        mw.RuleTable.of(spark, bad, slice_rules=1)
+
+
+def test_windows():
+    from maskwright.functions import windows
+
+    data = np.frombuffer(b"the quick brown fox jumps over the lazy dog" * 3, np.uint8)
+    for size, got in zip(windows.SIZES, windows.hashes(data, list(windows.SIZES))):
+        assert [windows.literal_hash(bytes(data[i:i + size]).decode()) for i in range(len(data) - size + 1)] == got.tolist()
+        assert len(set(got.tolist())) == len({bytes(data[i:i + size]) for i in range(len(data) - size + 1)})
+
+
 def test_the_plan_does_not_grow(spark):
     df = spark.createDataFrame([("a ref0001",)], "text STRING")
 

@@ -108,15 +108,15 @@ def _by_marks(x: str, opened: str, rules: list[tuple[int, Rule]]) -> str:
 
     ``split`` compiles its pattern on every call and ``regexp_extract_all`` gives no gaps, ``regexp_replace`` keeps a constant pattern.
     """
-    hits = f"""filter(transform({opened}, v_n -> named_struct(
-        'k', v_n, 'r', {_per_rule(rules, 'v_n', f'regexp_replace({x}, {{}}, v_around)')})), v_r -> octet_length(v_r.r) > octet_length({x}))"""
-    cut = f"""transform({hits}, v_r -> named_struct('p', split(v_r.r, v_mark, -1), 'rule', element_at({_rule_table(rules)}, v_r.k)))"""
-    several = let("v_q", """named_struct('m', transform(sequence(1, size(v_c.p) - 2, 2), v_i -> get(v_c.p, v_i)),
-        'g', transform(sequence(0, size(v_c.p) - 3, 2), v_i -> get(v_c.p, v_i)))""", locate("v_q.m", "v_q.g", "v_c.rule"))
-    first, match = "length(get(v_c.p, 0))", "length(get(v_c.p, 1))"
-    one = f"""array(named_struct('nc', v_c.rule.nc, 's', {first}, 'nl', -{match}, 'ord', v_c.rule.ord, 'e', {first} + {match},
-        'txt', get(v_c.p, 1), 'rep', v_c.rule.rep, 'cat', v_c.rule.cat, 'lab', v_c.rule.lab))"""
-    found = f"flatten(transform({cut}, v_c -> if(size(v_c.p) = 3, {one}, {several})))"
+    several = let("v_m", "transform(sequence(1, size(v_p) - 2, 2), v_i -> get(v_p, v_i))", let(
+        "v_g", "transform(sequence(0, size(v_p) - 3, 2), v_i -> get(v_p, v_i))", locate("v_m", "v_g", "v_rule")))
+    first, match = "length(get(v_p, 0))", "length(get(v_p, 1))"
+    one = f"""array(named_struct('nc', v_rule.nc, 's', {first}, 'nl', -{match}, 'ord', v_rule.ord, 'e', {first} + {match},
+        'txt', get(v_p, 1), 'rep', v_rule.rep, 'cat', v_rule.cat, 'lab', v_rule.lab))"""
+    cut = let("v_p", "split(v_r, v_mark, -1)", let("v_rule", f"element_at({_rule_table(rules)}, v_n)", f"if(size(v_p) = 3, {one}, {several})"))
+    per_rule = let("v_r", _per_rule(rules, "v_n", f"regexp_replace({x}, {{}}, v_around)"),
+                   f"if(octet_length(v_r) > octet_length({x}), {cut}, {empty_array(CANDIDATE_TYPE)})")
+    found = f"flatten(transform({opened}, v_n -> {per_rule}))"
     return _checked(let("v_around", "concat(v_mark, '$0', v_mark)", found), rules)
 
 

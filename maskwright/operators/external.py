@@ -6,9 +6,10 @@ import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.functions import bloom
+from maskwright.functions import bloom, phrases
 from maskwright.functions.expr import computed_once, empty_array, free_for, ident, let, running, valid_utf8
 from maskwright.operators.detect import SPAN_TYPE
 from maskwright.rules import ENTITY_REPLACEMENTS, PRIORITIES, SKIPPED_ENTITIES, Detector
@@ -39,29 +40,30 @@ def attach_entities(df: DataFrame, key: str, text_col: str, entities: DataFrame,
     join then moves the texts too, unless the entities are small enough to be broadcast.
     """
     per_text = entities.groupBy(key).agg(
-        F.expr("array_sort(collect_list(struct(start, end, entity_type, score)))").alias("_mw_found"))
-    spans = _entity_spans(F.col("_mw_found"), F.expr(valid_utf8(ident(text_col))))
-    return (free_for(df, into).join(per_text, key, "left")
-            .withColumn(into, F.coalesce(spans, F.expr(empty_array(SPAN_TYPE))))
-            .drop("_mw_found"))
+        F.expr("sort_array(collect_list(struct(start, end, entity_type, score)))").alias("_mw_found"))
+    spans = _entity_spans(F.col("_mw_found"), F.col("_mw_valid"))
+    met = computed_once(free_for(df, into).join(per_text, key, "left"), "_mw_valid", valid_utf8(ident(text_col)))
+    return met.withColumn(into, F.coalesce(spans, F.expr(empty_array(SPAN_TYPE)))).drop("_mw_found", "_mw_valid")
 
 
 _WORD = "'[\\\\p{L}\\\\p{N}_]+'"
 
 
 FEW_TERMS = 10_000
+HELD_TERMS, HELD_BYTES = 1 << 19, 1 << 25
 
 
 def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame, entity: str,
-                        score: float = 0.85, few: int = FEW_TERMS, longest_only: bool = False) -> DataFrame:
+                        score: float = 0.85, few: int = FEW_TERMS, longest_only: bool = False, held: int = HELD_TERMS) -> DataFrame:
     """Occurrences of listed terms (names, places) in texts, as an entity table.
 
-    ``terms`` has one column. A text becomes one narrow row per word and per term length in words,
+    ``terms`` has one column. Up to ``held`` terms of 32 MB together are held by tasks, which look up the phrases of a batch of texts
+    at once; nothing is shuffled. With more terms a text becomes one narrow row per word and per term length in words,
     holding the phrase that starts there, and phrases are equi-joined to the terms; no text is
     shuffled. Spark broadcasts a list that is below its size threshold and shuffles a larger one, where
     AQE splits frequent phrases. Of more than ``few`` terms a Bloom filter of fixed size is built on the cluster, and
     only phrases that it lets through become rows: of a million terms, no more than a few in a thousand besides the occurrences.
-    The filter decides what is moved, never the result.
+    The filter decides what is moved, never the result, and so does the size of the list.
 
     Matching ignores case; a term of several words must be written with the same separators. With ``longest_only``, of
     occurrences that begin at the same word only the longest is returned.
@@ -72,7 +74,7 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
         .where("phrase <> ''").distinct()
         .withColumn("words", F.expr(f"size(regexp_extract_all(phrase, {_WORD}, 0))"))
     )
-    n_terms, sizes = listed.agg(F.count("*"), F.sort_array(F.collect_set("words"))).first()
+    n_terms, n_bytes, sizes = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0)), F.sort_array(F.collect_set("words"))).first()
     lengths = f"CAST(array({', '.join(map(str, sizes))}) AS ARRAY<INT>)"
 
     ends = running("zip_with(v_w, slice(v_g, 1, size(v_w)), (v_m, v_s) -> length(v_s) + length(v_m))",
@@ -87,13 +89,24 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
     found = let("v_text", valid_utf8(ident(text_col)), let("v_w", f"regexp_extract_all({x}, {_WORD}, 0)", let(
         "v_g", f"split({x}, {_WORD}, -1)", let("v_ends", ends, rows))))
     texts = df.where(F.col(text_col).isNotNull())
-    if n_terms > few:
+    in_tasks = None
+    if n_terms <= held and n_bytes <= HELD_BYTES:
+        in_tasks = phrases.Phrases.of(pa.array([r.phrase for r in listed.select("phrase").toLocalIterator()], pa.string()), sizes)
+    if in_tasks:
+        # words of other letters than ASCII are told by the JVM; for the others an empty array, as Spark takes ever longer to measure a batch of null ones
+        none = empty_array("STRUCT<start: INT, len: INT, phrase: STRING>")
+        plain = f"octet_length({ident(text_col)}) = length({ident(text_col)})"
+        own = texts.select(key, F.expr(f"if({plain}, {ident(text_col)}, NULL)").alias("_mw_plain"), F.expr(f"if({plain}, {none}, {found})").alias("_mw_phrases"))
+        looked_up = _held(df.sparkSession, in_tasks)(F.col("_mw_plain"), F.col("_mw_phrases"))
+        met = computed_once(own, "_mw_found", looked_up).select(key, F.expr("inline(_mw_found)"))
+    elif n_terms > few:
         table = bloom.build(listed.select(F.xxhash64("phrase").alias("h")))
         hashed = computed_once(texts.select(key, F.expr(found).alias("_mw_found")), "_mw_maybe", bloom.maybe_each(
             df.sparkSession, F.expr("transform(_mw_found, p -> xxhash64(p.phrase))"), table))
         found = "filter(_mw_found, (p, i) -> get(_mw_maybe, i))"
         texts = hashed
-    met = texts.select(key, F.expr(f"inline({found})")).join(listed, "phrase")
+    if not in_tasks:
+        met = texts.select(key, F.expr(f"inline({found})")).join(listed, "phrase")
     if longest_only:
         met = met.groupBy(key, "start").agg(F.max("len").alias("len"))
     return (
@@ -102,6 +115,19 @@ def dictionary_entities(df: DataFrame, key: str, text_col: str, terms: DataFrame
     )
 
 
+def _held(spark: SparkSession, listed: phrases.Phrases):
+    """A function from texts and the phrases of others to the places of listed phrases."""
+    shared = spark.sparkContext.broadcast(listed)
+
+    @F.arrow_udf("ARRAY<STRUCT<start: INT, len: INT>>")
+    def look_up(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        hasher = phrases.Hasher()
+        for texts, others in batches:
+            yield phrases.found_lists(shared, texts, others, hasher)
+
+    return look_up
+
+
 _ENTITY_TYPE = "STRUCT<entity_type: STRING, start: INT, end: INT, score: DOUBLE>"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from maskwright.functions.expr import ident, let, running, valid_utf8
 
 _BLOCK = 64
+_SHORT = 1024  # bytes of a text whose pieces are cut from its beginning
 
 STYLES = {
     "label": "v_s.replacement",
@@ -37,7 +38,8 @@ def _tail(text: str) -> str:
 
 
 # An empty span shares its start with its neighbour: write it before, the last ranked first.
-_WRITE_ORDER = """if(size(v_in) < 2, v_in, transform(array_sort(transform(v_in, (v_s, v_i) -> named_struct(
+_WRITE_ORDER = """if(size(v_in) < 2 OR NOT exists(sequence(1, size(v_in) - 1), v_i -> get(v_in, v_i).start <= get(v_in, v_i - 1).start),
+    v_in, transform(sort_array(transform(v_in, (v_s, v_i) -> named_struct(
     's', v_s.start, 'e', v_s.end, 'i', -v_i, 'v_s', v_s))), v_o -> v_o.v_s))"""
 
 
@@ -45,8 +47,11 @@ def spliced(text: str, spans: str, style: str = "label") -> str:
     """The text with each span replaced."""
     if style not in STYLES:
         raise ValueError(f"Unknown style: {style!r}. Available styles: {', '.join(STYLES)}")
+    before = "if(v_i = 0, 0, get(v_sp, v_i - 1).end)"
+    short = f"concat(substring({text}, {before} + 1, v_s.start - {before}), {STYLES[style]})"
     body = f"""CASE WHEN size(v_sp) = 0 THEN {text}
         WHEN size(v_sp) = 1 THEN {let('v_s', 'get(v_sp, 0)', f"concat(coalesce(concat(substring({text}, 1, v_s.start), {STYLES[style]}), ''), substring({text}, v_s.end + 1))")}
+        WHEN size(v_sp) <= {_BLOCK} AND octet_length({text}) <= {_SHORT} THEN concat(array_join(transform(v_sp, (v_s, v_i) -> {short}), ''), {_tail(text)})
         ELSE concat(array_join(zip_with({_gaps(text)}, v_sp, (v_g, v_s) -> concat(v_g, {STYLES[style]})), ''),
         {_tail(text)}) END"""
     return let("v_in", spans, let("v_sp", _WRITE_ORDER, body))

@@ -6,9 +6,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from maskwright.functions.expr import computed_once, empty_array, free_for, ident, let, valid_utf8
+from maskwright.functions.expr import computed_once, empty_array, free_for, ident, joined, let, valid_utf8
 from maskwright.operators import detect, many_rules
-from maskwright.operators.redact import apply_replacements, spliced
+from maskwright.operators.redact import spliced
 from maskwright.operators.report import report
 from maskwright.operators.resolve import resolved_spans
 from maskwright.rules import Detector, Rule, RuleSet
@@ -72,7 +72,7 @@ def _prepared(df: DataFrame, text_col: str, rules: Rules, min_confidence: float,
     parts += dynamic
     if not parts:
         parts = [empty_array(detect.CANDIDATE_TYPE)]
-    return df, parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})", extra
+    return df, parts[0] if len(parts) == 1 else joined(*parts), extra
 
 
 def with_candidates(df: DataFrame, text_col: str, rules: Rules = None, min_confidence: float = 0.0,
@@ -102,10 +102,11 @@ def sanitize(df: DataFrame, text_col: str = "text", rules: Rules = None, min_con
     ``dry_run`` the clean text is the input. Bytes that are no UTF-8 become U+FFFD in the clean text,
     or fail the job with ``on_invalid="raise"``. Input columns with these names are an error.
     """
-    out = with_spans(free_for(df, "spans", "clean_text", "report"), text_col, rules, min_confidence, external,
-                     on_invalid=on_invalid)
-    clean = F.col(text_col) if dry_run else apply_replacements(text_col, "spans", style)
-    return out.withColumn("clean_text", clean).withColumn("report", report("spans"))
+    df, candidates, extra = _prepared(free_for(df, "spans", "clean_text", "report"), text_col, rules, min_confidence, external, on_invalid)
+    out = computed_once(df, "spans", resolved_spans(candidates))
+    # the valid text is there already; tested inside the splice, each test would look its method up anew
+    clean = F.col(text_col) if dry_run else F.expr(spliced("_mw_text", "spans", style))
+    return out.withColumn("clean_text", clean).drop(*extra).withColumn("report", report("spans"))
 
 
 def sanitize_text(spark: SparkSession, text: str, rules: Rules = None,

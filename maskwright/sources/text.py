@@ -14,16 +14,19 @@ def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 ROWS_PER_TASK = 100_000
 
 
-def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK, by: str | None = None) -> DataFrame:
     """Use all cores, and tasks of some seconds, when a scan yields fewer partitions than that (few files, or compact rows) or uneven ones.
 
     Matching is bound by CPU, so moving the compact rows pays off; an input that has enough even partitions is left as it is. Only partitions
     that hold rows count: a Parquet file is split by bytes, but a row group's rows all go to one split, and the others are empty.
-    The rows are counted by partition, which for Parquet reads only the footers of its files.
+    The rows are counted by partition, which for Parquet reads only the footers of its files. With ``by`` rows always move, those of one key to
+    one task, so that later joins and groups by that key need not move them again.
     """
     sizes = [n for _, n in df.groupBy(F.spark_partition_id()).count().collect()]
     wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-sum(sizes) // rows_per_task))
     uneven = max(sizes, default=0) * wanted > 2 * sum(sizes)
+    if by:
+        return df.repartition(wanted, by)
     return df.repartition(wanted) if len(sizes) < wanted or uneven else df
 
 

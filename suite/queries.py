@@ -317,9 +317,8 @@ def dictionary_locations(spark, sf_dir):
     'call [PERSON] about 10' || ' or mail [EMAIL]' AS clean_text FROM lineitem""")
 def dictionary_persons_masked(spark, sf_dir):
     """Names of several words from the supplier table, masked together with rule findings."""
-    lines = spread(table(spark, sf_dir, "lineitem")).select(
-        F.expr("l_orderkey * 10 + l_linenumber").alias("id"),
-        F.expr("'call supplier#' || lpad(l_suppkey, 9, '0') || ' about 10 or mail a@b.org'").alias("text"))
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey * 10 + l_linenumber").alias("id"), "l_suppkey"), by="id").select(
+        "id", F.expr("'call supplier#' || lpad(l_suppkey, 9, '0') || ' about 10 or mail a@b.org'").alias("text"))
     found = external.dictionary_entities(lines, "id", "text", table(spark, sf_dir, "supplier").select("s_name"), "PERSON")
     with_found = external.attach_entities(lines, "id", "text", found)
     return mw.sanitize(with_found, "text", external="external").select("id", "clean_text")

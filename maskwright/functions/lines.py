@@ -107,3 +107,63 @@ def bracket(pattern: str) -> Bracket:
         if tail.startswith(part[2]) and part[2] not in r".^$*+?{}()|\\":
             return Bracket(head, int(part[3][0] == "+"), re.escape(part[2]), tail)
     raise Unbounded(f"{pattern!r} may match over any number of lines")
+
+
+# ------------------------------------------------------------------ where a line may end without being crossed
+_ASCII = frozenset(range(128))
+_BLANK = frozenset(c for c in _SPACES if c < 128)
+
+
+def _members(items) -> frozenset[int]:
+    """The ASCII characters of a class."""
+    negated = bool(items) and str(items[0][0]) == "NEGATE"
+    held = set()
+    for op, value in items[negated:]:
+        name = str(op)
+        if name == "LITERAL":
+            held.add(value)
+        elif name == "RANGE":
+            held.update(range(value[0], min(value[1], 127) + 1))
+        else:
+            test = re.compile({"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_SPACE": r"\S",
+                               "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}[str(value)])
+            held.update(c for c in _ASCII if test.match(chr(c)))
+    return _ASCII - held if negated else frozenset(held) & _ASCII
+
+
+def _lasts(items, before: frozenset[int], found: set[int]) -> frozenset[int]:
+    """What may be the last character but blanks after ``items``, given the same before them; adds to ``found`` what may stand before a line end."""
+    for op, value in items:
+        name = str(op)
+        if name in ("LITERAL", "IN", "CATEGORY"):
+            chars = _members([(op, value)] if name != "IN" else value)
+            if 10 in chars:
+                found |= before
+            before = (chars - _BLANK) | (before if chars & _BLANK else frozenset())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            once = _lasts(value[2], before, found)
+            again = once | _lasts(value[2], before | once, found)
+            before = again | (before if value[0] == 0 else frozenset())
+        elif name == "SUBPATTERN":
+            before = _lasts(value[3], before, found)
+        elif name == "ATOMIC_GROUP":
+            before = _lasts(value, before, found)
+        elif name == "BRANCH":
+            before = frozenset().union(*[_lasts(branch, before, found) for branch in value[1]])
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            _lasts(value[1], before if value[0] > 0 else _ASCII, found)
+        elif name != "AT":  # any character
+            before = _ASCII
+    return before
+
+
+def before_line_ends(pattern: str) -> frozenset[int]:
+    """The ASCII characters after which, and blanks, a match may take in a line end. Only of patterns whose ``joins`` are known.
+
+    A line whose last character but blanks is another one, and ASCII, is never crossed at its end, whatever was matched before.
+    """
+    parsed, found = re._parser.parse(pattern), set()
+    _lasts(parsed, _ASCII, found)
+    if parsed.state.flags & re.I:
+        found |= {ord(f(chr(c))) for c in found for f in (str.lower, str.upper)}
+    return frozenset(found)

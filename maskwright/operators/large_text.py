@@ -4,6 +4,7 @@ Spark's reader gives the lines of a file by byte ranges. Lines are put together
 no match can cross: of the rules' patterns it is known how often a match can go on after blanks over line ends, so that many
 non-blank lines around a place tell whether any match that begins before it ends behind it. Where a range of the file ends at a place
 that is not safe, the chunks on both sides are put together. Within such chunks every rule finds what it finds in the whole text.
+Detection cuts them further, after lines whose last character no match has before a line end.
 
 Rules that hold any number of lines between a head and a tail, such as private keys, are not bound by that. They leave in each chunk a
 summary for either case, no match being open at its beginning or one: what is found, and whether one is open at its end. A walk
@@ -21,14 +22,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from maskwright.functions.dialect import can_match_empty
-from maskwright.functions.expr import ident, valid_utf8
-from maskwright.functions.lines import Bracket, Unbounded, bracket, joins
-from maskwright.operators.redact import spliced
+from maskwright.functions.expr import valid_utf8
+from maskwright.functions.lines import Bracket, Unbounded, before_line_ends, bracket, joins
 from maskwright.operators.resolve_table import resolve_findings
 from maskwright.plans.sanitize import Rules, raw_findings
 from maskwright.rules import Rule, RuleSet
@@ -231,6 +232,45 @@ def _walk(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 # ------------------------------------------------------------------ masking
+def _pieces(rules: list[Rule]):
+    """Chunks cut at the line ends that no match can cross, as the last character before them tells, so that gates close on most pieces."""
+    crossed = np.ones(256, bool)
+    crossed[:128] = False
+    for r in rules:
+        crossed[[*before_line_ends(r.pattern)]] = True
+    blank = np.zeros(256, bool)
+    blank[[*range(9, 14), *range(28, 33)]] = True
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            for row, text in enumerate(batch.column(3)):
+                held = text.as_buffer()
+                data = np.frombuffer(held, np.uint8)
+                full = np.flatnonzero(~blank[data])
+                ends = np.flatnonzero(data == 10) + 1
+                before = np.searchsorted(full, ends) - 1  # a line end after blanks alone is not cut
+                safe = ends[(before >= 0) & ~crossed[data[full[before]]]] if len(full) else ends[:0]
+                offsets = np.unique(np.concatenate([[0], safe, [len(data)]])).astype(np.int32)
+                texts = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), held)
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets[:-1]]
+                keys = [pa.array([batch.column(i)[row].as_py()] * len(texts), batch.column(i).type) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(chars, pa.int64()), texts], names=["path", "block", "n", "at", "text"])
+    return run
+
+
+def _spliced(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their spans, disjoint and in order, written anew."""
+    for batch in frames:
+        clean = []
+        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            out, at = [], 0
+            for s in spans or ():
+                out += (text[at:s["start"]], s["replacement"])
+                at = s["end"]
+            clean.append("".join(out) + text[at:] if out else text)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clean, pa.string()), batch.column(4)], names=["path", "seq", "clean_text", "n_spans"])
+
+
 def large_findings(chunks: DataFrame, rules: list[Rule], min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Kept spans (path, start, end, replacement, category, label, confidence) in places of the whole text, and the places of the chunks."""
     spark = chunks.sparkSession
@@ -247,7 +287,8 @@ def large_findings(chunks: DataFrame, rules: list[Rule], min_confidence: float =
     columns = ("path", "start", "end", "replacement", "category", "label", "confidence", "rank")
     parts = []
     if inside:
-        found = raw_findings(chunks, keys, "text", inside, rank=True).join(places, keys)
+        pieces = chunks.select(*keys, "text").mapInArrow(_pieces(inside), "path STRING, block LONG, n INT, at LONG, text STRING")
+        found = raw_findings(pieces, [*keys, "at"], "text", inside, rank=True).join(places, keys).withColumn("offset", F.col("offset") + F.col("at"))
         # ranks among the rules for chunks, to ranks among all
         to_all = F.element_at(F.array(*[F.lit(ranked[id(r)]) for r in RuleSet(tuple(inside)).ordered()]), F.col("rank") + 1)
         parts.append(found.select("path", (F.col("start") + F.col("offset")).alias("start"), (F.col("end") + F.col("offset")).alias("end"),
@@ -290,5 +331,5 @@ def mask_large_files(spark: SparkSession, paths: str | list[str], rules: Rules =
     spans.write.parquet(path)
     spans = spark.read.schema(spans.schema).parquet(path)
     out = chunks.join(at.select("path", "block", "n", "seq"), ["path", "block", "n"]).join(spans, ["path", "block", "n"], "left")
-    clean: Column = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(spliced(ident("text"), ident("spans"))))
-    return out.select("path", "seq", clean.alias("clean_text"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
+    rows = out.select("path", "seq", "text", "spans", F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
+    return rows.mapInArrow(_spliced, "path STRING, seq INT, clean_text STRING, n_spans LONG")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 import maskwright as mw
 import model
-from maskwright.functions.lines import Bracket, Unbounded, bracket, joins
-from maskwright.operators.large_text import _scan, mask_large_files, read_chunks
+from maskwright.functions.lines import Bracket, Unbounded, before_line_ends, bracket, joins
+from maskwright.operators.large_text import _pieces, _scan, mask_large_files, read_chunks
 from maskwright.rules import Rule, default_rules
 
 
@@ -110,3 +110,34 @@ def test_invalid_bytes_in_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"\xe2 password=hunter2secret\nx \xff 10.0.0.1")
     rows = mask_large_files(spark, str(tmp_path)).orderBy("seq").collect()
     assert "".join(r.clean_text for r in rows) == "� [REDACTED]\nx � [IP_ADDRESS]"
+
+
+@pytest.mark.parametrize("pattern, want", [
+    (r"ab\s*=\s*c", "b="), (r"a[ \t]+b", ""), (r"(?i)x(?:yz?)?\s+w", "XYZxyz"), (r"(?:a\n){3}", "a"), (r"[^\s,]\s?;", "".join(chr(c) for c in range(33, 127) if c != 44)),
+    (r"p(?=q\s)", "q"), (r"a(?:\s*b)?\s*c", "ab"), (r"(?m)^a$", ""),
+])
+def test_before_line_ends(pattern, want):
+    assert {chr(c) for c in before_line_ends(pattern) if 32 < c < 127} == set(want)
+
+
+def test_any_character_may_stand_before():
+    for pattern in (r"\s+a", r"\n?a", r"(?<=\n)a", r"a.\s"):
+        assert before_line_ends(pattern) >= set(range(33, 127))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pieces_hold_what_the_chunk_holds(seed):
+    """Every rule finds in the pieces what it finds in the whole, at the same places; lines are cut apart where they can be."""
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    rules = [r for r in default_rules() if r.label not in ("private_key", "azure_storage_connection_string")]
+    text = "".join(rng.choices([*PIECES, "passport", "number", "\u00a0\n", "bearer", "\x1c\n", "account_id"], k=400))
+    batch = pa.RecordBatch.from_pydict({"path": ["p"], "block": [0], "n": pa.array([0], pa.int32()), "text": [text]})
+    (out,) = _pieces(rules)([batch])
+    pieces = out.to_pylist()
+    assert "".join(p["text"] for p in pieces) == text and len(pieces) > 20
+    assert all(text[p["at"]:p["at"] + len(p["text"])] == p["text"] for p in pieces)
+    for r in rules:
+        assert [m.span() for m in re.finditer(r.pattern, text)] == [
+            (p["at"] + m.start(), p["at"] + m.end()) for p in pieces for m in re.finditer(r.pattern, p["text"])], r.label

@@ -129,3 +129,16 @@ def test_addresses_of_any_length(spark):
     got = {r.id: [(s.start, s.end) for s in r.spans] for r in mw.with_spans(df, "text", [rule]).collect()}
     wrong = [(texts[i][:20], len(texts[i]), got[i]) for i in got if got[i] != [m.span() for m in re.finditer(rule.pattern, texts[i])]]
     assert not wrong
+
+
+@pytest.mark.parametrize("slice_rules", [50_000, 1])
+def test_one_match_where_its_text_occurs_often(spark, slice_rules):
+    """A rule's only match is not where its text first stands, or overlaps it; equal texts and texts that repeat a literal count once."""
+    rules = [Rule("custom", "end", r"abc\b", "[E]", 1.0, 10), Rule("custom", "before", r"(?<=xx)ref7", "[B]", 1.0, 10), Rule("custom", "aa", r"aaaa(?!a)", "[A]", 0.9, 10),
+             Rule("custom", "look", r"(?=look)", "[L]", 0.8, 10), Rule("custom", "once", r"ticket \d+", "[T]", 1.0, 10)]
+    texts = ["abcd abcde abc", "ref7 é xxref7", "aaaaaa b", "a look", "é ticket 12 and", "ticket 1 ticket 1", "abc abc", "none"] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING").repartition(3)
+    got = {r.id: [(s.start, s.end, s.label) for s in r.spans] for r in mw.with_spans(df, "text", [mw.RuleTable.of(spark, rules, slice_rules=slice_rules)]).collect()}
+    for i, text in enumerate(texts):
+        found = [(m.start(), m.end(), m.group(), r.replacement, r.category, r.label, r.confidence) for r in rules for m in re.finditer(r.pattern, text)]
+        assert got[i] == [(s[0], s[1], s[5]) for s in model.resolve(found)], text
